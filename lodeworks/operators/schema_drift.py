@@ -42,15 +42,15 @@ def _bags(df: DataFrame, origin: str, feed: Column, file_no: Column, entry: Colu
     )
 
 
-def field_values(bags: DataFrame) -> DataFrame:
-    """One row for each non-null top-level field of each entry: FILE_KEY, entry, canonical_id, field, kind, value.
+def field_values(bags: DataFrame, keep_files: bool = False) -> DataFrame:
+    """One row for each non-null top-level field of each entry: FILE_KEY, entry, canonical_id, field, kind, value, keys.
 
     ``kind`` is string, number, boolean, array or object; ``value`` is the JSON text with sorted keys and
-    numbers in plain form. Bags that are null, no JSON or no object give no row.
+    numbers in plain form. Bags that are null, no JSON or no object give no row; with ``keep_files`` they give
+    one with a null field, which marks that the file exists.
     """
-    exploded = bags.filter(F.schema_of_variant("bag").startswith("OBJECT")).lateralJoin(
-        bags.sparkSession.tvf.variant_explode(F.col("bag").outer())
-    )
+    bag = F.when(F.schema_of_variant("bag").startswith("OBJECT"), F.col("bag"))
+    exploded = bags.withColumn("bag", bag).lateralJoin(bags.sparkSession.tvf.variant_explode_outer(F.col("bag").outer()))
     shape = F.schema_of_variant("value")
     kind = (
         F.when(shape.startswith("OBJECT"), "object").when(shape.startswith("ARRAY"), "array").when(shape == "STRING", "string")
@@ -59,41 +59,55 @@ def field_values(bags: DataFrame) -> DataFrame:
     text = F.to_json("value")
     plain = F.when(kind == "number", F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")).otherwise(text)
     keys = F.when(kind == "object", F.json_object_keys(text))
-    return exploded.select(*FILE_KEY, "entry", "canonical_id", F.col("key").alias("field"), kind.alias("kind"), plain.alias("value"), keys.alias("keys")).filter("kind is not null")
-
-
-def file_schemas(values: DataFrame) -> DataFrame:
-    """FILE_KEY, field, kinds, keys: the top-level fields of each file and section with their types."""
-    flat = values.groupBy(*FILE_KEY, "field", "kind").agg(F.flatten(F.collect_set("keys")).alias("keys"))
-    return flat.groupBy(*FILE_KEY, "field").agg(F.sort_array(F.collect_set("kind")).alias("kinds"), F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys"))
+    out = exploded.select(*FILE_KEY, "entry", "canonical_id", F.when(kind.isNotNull(), F.col("key")).alias("field"), kind.alias("kind"), plain.alias("value"), keys.alias("keys"))
+    return out if keep_files else out.filter("field is not null")
 
 
-def compared_fields(bags: DataFrame, schemas: DataFrame) -> DataFrame:
-    """FILE_KEY, field, old_kinds, new_kinds, old_keys, new_keys for every file that has a predecessor.
+def file_pairs(bags: DataFrame) -> DataFrame:
+    """FILE_KEY (of the later file), fields ARRAY<STRUCT<side, field, kinds, keys>> for every two successive files.
 
-    Null kinds: the field is not in that file. Files are those with any entry, so one whose bags are all
-    empty loses every field.
+    Files are those with any entry, so one whose bags are all empty loses every field. Each file's schema is
+    dealt to the two pairs it belongs to, so no join is needed; a file's marker is a null field.
     """
-    files = bags.select(*FILE_KEY).distinct()
-    pairs = files.join(files.withColumn("file_no", F.col("file_no") + 1), list(FILE_KEY), "left_semi")
-    new = schemas.select(*FILE_KEY, "field", F.col("kinds").alias("new_kinds"), F.col("keys").alias("new_keys"))
-    old = schemas.select("origin", "feed", "section", (F.col("file_no") + 1).alias("file_no"), "field", F.col("kinds").alias("old_kinds"), F.col("keys").alias("old_keys"))
-    return new.join(old, [*FILE_KEY, "field"], "full_outer").join(pairs, list(FILE_KEY), "left_semi")
+    held = field_values(bags, keep_files=True)
+    flat = held.groupBy(*FILE_KEY, "field", "kind").agg(F.flatten(F.collect_set("keys")).alias("keys"))
+    schemas = flat.groupBy(*FILE_KEY, "field").agg(F.sort_array(F.collect_set("kind")).alias("kinds"), F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys"))
+    dealt = schemas.select(
+        "origin", "feed", "section", "field", "kinds", "keys",
+        F.explode(F.array(F.struct(F.lit("new").alias("side"), F.col("file_no")), F.struct(F.lit("old").alias("side"), (F.col("file_no") + 1).alias("file_no")))).alias("as"),
+    )
+    grouped = dealt.groupBy("origin", "feed", "section", F.col("as.file_no").alias("file_no")).agg(
+        F.collect_list(F.struct(F.col("as.side").alias("side"), "field", "kinds", "keys")).alias("fields"), F.collect_set("as.side").alias("sides")
+    )
+    return grouped.filter(F.size("sides") == 2).select(*FILE_KEY, "fields")
 
 
-def rename_evidence(values: DataFrame, compared: DataFrame) -> DataFrame:
-    """FILE_KEY, old_field, field, both, equal over lost and new fields of a file pair.
+def rename_evidence(bags: DataFrame, pairs: DataFrame) -> DataFrame:
+    """FILE_KEY, pairs ARRAY<STRUCT<old_field, field, both, equal>> over lost and new fields of two files.
 
     ``both`` counts canonical_ids with a value under both, ``equal`` those whose values are the same. Entries
-    without a canonical_id link nothing. Repeated entries are reduced to one set of values before the join.
+    without a canonical_id link nothing. Only values of lost and new fields pass the first join; repeated
+    entries are reduced to one set of values before anything is paired, and what is paired are the lost with
+    the new fields of one canonical_id in one file.
     """
-    lost = compared.filter("new_kinds is null").select(*FILE_KEY, "field")
-    come = compared.filter("old_kinds is null").select(*FILE_KEY, "field")
-    held = values.filter("canonical_id is not null").select(*FILE_KEY, "canonical_id", "field", "value")
-    per_id = lambda df, only: df.join(only, [*FILE_KEY, "field"], "left_semi").groupBy(*FILE_KEY, "canonical_id", "field").agg(F.sort_array(F.collect_set("value")).alias("has"))
-    old = per_id(held.withColumn("file_no", F.col("file_no") + 1), lost).withColumnsRenamed({"field": "old_field", "has": "had"})
-    new = per_id(held, come)
-    return old.join(new, [*FILE_KEY, "canonical_id"]).groupBy(*FILE_KEY, "old_field", "field").agg(F.count("*").alias("both"), F.count_if(F.col("had") == F.col("has")).alias("equal"))
+    names = lambda side: F.transform(F.filter("fields", lambda f: (f["side"] == side) & f["field"].isNotNull()), lambda f: f["field"])
+    moves = pairs.select(
+        "origin", "feed", "section", F.col("file_no").alias("pair"),
+        F.explode(F.concat(
+            F.transform(F.array_except(names("old"), names("new")), lambda f: F.struct(f.alias("field"), (F.col("file_no") - 1).alias("file_no"), F.lit("old").alias("side"))),
+            F.transform(F.array_except(names("new"), names("old")), lambda f: F.struct(f.alias("field"), F.col("file_no").alias("file_no"), F.lit("new").alias("side"))),
+        )).alias("m"),
+    ).select("origin", "feed", "section", "pair", "m.*")
+    held = field_values(bags).filter("canonical_id is not null").select(*FILE_KEY, "canonical_id", "field", "value")
+    keyed = held.join(moves, [*FILE_KEY, "field"]).groupBy("origin", "feed", "section", "pair", "canonical_id", "side", "field").agg(F.sort_array(F.collect_set("value")).alias("has"))
+    per_id = keyed.groupBy("origin", "feed", "section", "pair", "canonical_id").agg(F.collect_list(F.struct("side", "field", "has")).alias("v"))
+    side = lambda k: F.filter("v", lambda x: x["side"] == k)
+    crossed = F.flatten(F.transform(side("old"), lambda o: F.transform(side("new"), lambda n: F.struct(o["field"].alias("old_field"), n["field"].alias("field"), (o["has"] == n["has"]).alias("same")))))
+    counted = (
+        per_id.select("origin", "feed", "section", "pair", F.explode(crossed).alias("c"))
+        .groupBy("origin", "feed", "section", "pair", "c.old_field", "c.field").agg(F.count("*").alias("both"), F.count_if("c.same").alias("equal"))
+    )
+    return counted.groupBy("origin", "feed", "section", F.col("pair").alias("file_no")).agg(F.collect_list(F.struct("old_field", "field", "both", "equal")).alias("pairs"))
 
 
 def _words(name: str) -> list[str]:
@@ -193,50 +207,47 @@ def correspondences(old: Schema, new: Schema, both: dict[tuple[str, str], tuple[
     return out
 
 
-MATCHES = "origin string, feed string, section string, file_no int, old_field string, field string, score double"
-_MATCH_SCHEMA = pa.schema([("origin", pa.string()), ("feed", pa.string()), ("section", pa.string()), ("file_no", pa.int32()), ("old_field", pa.string()), ("field", pa.string()), ("score", pa.float64())])
+CHANGES = "origin string, feed string, section string, file_no int, field string, change string, old_field string, score double"
+_CHANGE_SCHEMA = pa.schema([(c.split()[0], {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}[c.split()[1]]) for c in CHANGES.split(", ")])
 
 
-def matched_fields(compared: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Correspondences of every file pair that lost and gained fields, as MATCHES, with the evidence joined."""
-    fields = compared.groupBy(*FILE_KEY).agg(
-        F.collect_list(F.struct("field", "old_kinds", "new_kinds", "old_keys", "new_keys")).alias("fields"),
-        F.count_if(F.col("new_kinds").isNull()).alias("lost"),
-        F.count_if(F.col("old_kinds").isNull()).alias("come"),
-    )
-    shared = evidence.groupBy(*FILE_KEY).agg(F.collect_list(F.struct("old_field", "field", "both", "equal")).alias("pairs"))
-    joined = fields.filter("lost > 0 and come > 0").join(shared, list(FILE_KEY), "left").select(*FILE_KEY, "fields", "pairs")
+def pair_changes(old: Schema, new: Schema, both: dict[tuple[str, str], tuple[int, int]]) -> list[tuple[str, str, str, float | None]]:
+    """(field, change, old_field, score) between two schemas, sorted by field.
+
+    A selected correspondence is a rename where at least one canonical_id has a value under both fields and
+    all that do have equal values.
+    """
+    renamed = [(o, n, score) for o, n, score in correspondences(old, new, both) if 0 < both.get((o, n), (0, 0))[0] == both[(o, n)][1]]
+    gone, come = {o for o, _, _ in renamed}, {n for _, n, _ in renamed}
+    out: list = [(n, "renamed", o, score) for o, n, score in renamed]
+    out += [(f, "added", "", None) for f in new if f not in old and f not in come]
+    out += [(f, "removed", "", None) for f in old if f not in new and f not in gone]
+    out += [(f, "retyped", "", None) for f in new if f in old and old[f][0] != new[f][0]]
+    return sorted(out, key=lambda c: c[:3])
+
+
+def changes(bags: DataFrame) -> DataFrame:
+    """Every change between successive files as CHANGES; ``change`` is renamed, added, removed or retyped.
+
+    Empty input gives an empty table.
+    """
+    pairs = file_pairs(bags)
+    joined = pairs.join(rename_evidence(bags, pairs), list(FILE_KEY), "left").select(*FILE_KEY, "fields", "pairs")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                side = lambda k: {f["field"]: (frozenset(f[f"{k}_kinds"]), frozenset(f[f"{k}_keys"] or ())) for f in r["fields"] if f[f"{k}_kinds"] is not None}  # noqa: E731, B023
+                sides: dict[str, Schema] = {"old": {}, "new": {}}
+                for f in r["fields"]:
+                    if f["field"] is not None:
+                        sides[f["side"]][f["field"]] = (frozenset(f["kinds"]), frozenset(f["keys"] or ()))
                 both = {(p["old_field"], p["field"]): (p["both"], p["equal"]) for p in r["pairs"] or ()}
-                rows += [(r["origin"], r["feed"], r["section"], r["file_no"], *m) for m in correspondences(side("old"), side("new"), both)]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * len(_MATCH_SCHEMA)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _MATCH_SCHEMA, strict=True)], schema=_MATCH_SCHEMA)
-
-    found = joined.mapInArrow(match, MATCHES)
-    return found.join(evidence, [*FILE_KEY, "old_field", "field"], "left")
+                rows += [(r["origin"], r["feed"], r["section"], r["file_no"], *c) for c in pair_changes(sides["old"], sides["new"], both)]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * len(_CHANGE_SCHEMA)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _CHANGE_SCHEMA, strict=True)], schema=_CHANGE_SCHEMA)
 
-
-def changes(bags: DataFrame) -> DataFrame:
-    """Every change: FILE_KEY, field, change, old_field. ``change`` is renamed, added, removed or retyped.
-
-    A rename is a selected correspondence for which at least one canonical_id has a value under both fields
-    and all that do have equal values. Empty input gives an empty table.
-    """
-    values = field_values(bags)
-    compared = compared_fields(bags, file_schemas(values))
-    matched = matched_fields(compared, rename_evidence(values, compared))
-    renamed = matched.filter("both > 0 and equal = both").select(*FILE_KEY, "field", F.lit("renamed").alias("change"), "old_field")
-    none = F.lit("").alias("old_field")
-    added = compared.filter("old_kinds is null").select(*FILE_KEY, "field").join(renamed, [*FILE_KEY, "field"], "left_anti").select(*FILE_KEY, "field", F.lit("added").alias("change"), none)
-    gone = renamed.select(*FILE_KEY, F.col("old_field").alias("field"))
-    removed = compared.filter("new_kinds is null").select(*FILE_KEY, "field").join(gone, [*FILE_KEY, "field"], "left_anti").select(*FILE_KEY, "field", F.lit("removed").alias("change"), none)
-    retyped = compared.filter("old_kinds is not null and new_kinds is not null and old_kinds <> new_kinds").select(*FILE_KEY, "field", F.lit("retyped").alias("change"), none)
-    return renamed.unionByName(added).unionByName(removed).unionByName(retyped)
+    return joined.mapInArrow(match, CHANGES)
 
 
 def unified_rows(bags: DataFrame) -> DataFrame:
