@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "lodeworks") -> SparkSession:
     """A local session for tests and the bench; on a cluster the caller brings its own session."""
-    return (
+    return find_on_workers(
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -25,6 +25,18 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "lod
     )
 
 
+def find_on_workers(spark: SparkSession) -> SparkSession:
+    """Put this package's place on the path of the Python workers.
+
+    Where executors do not see that place, give them the package with ``--py-files`` as usual.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and staged tables.
 
