@@ -7,12 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeworks.llm import canonical, packing, quality, tokenize
+from lodeworks.llm import canonical, neardup, packing, quality, tokenize
 from lodeworks.sources.tables import house_list, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.finding_pairs(table(spark, folder, "documents"), table(spark, folder, "experiments"))
+
+
+def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Each finding with its class of equal word sets, the number of similar classes, and its group."""
+    return neardup.finding_groups(table(spark, folder, "documents"), table(spark, folder, "experiments"))
+
+
 def _mapped(spark: SparkSession, folder: str) -> DataFrame:
     names = canonical.list_names(house_list(spark, folder), "materials")
     texts = canonical.material_texts(table(spark, folder, "experiment_rows"), table(spark, folder, "experiments"))
@@ -52,5 +61,5 @@ def p10_stats(spark: SparkSession, folder: str) -> DataFrame:
     return _quality(spark, folder)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p7_found, p7_unmatched, p8_ids, p9_containers, p9_fill, p10_found, p10_stats)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p4_found, p4_groups, p7_found, p7_unmatched, p8_ids, p9_containers, p9_fill, p10_found, p10_stats)}
 ORACLE: dict[str, str] = {}
