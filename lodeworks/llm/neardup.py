@@ -30,7 +30,7 @@ MAX_DENSE = 2_000_000
 #: Levels of the signature tree above which signatures stay as they are.
 MAX_LEVELS = 8
 #: Records in a leaf, children of a node, and the group size up to which no tree is built.
-LEAF, FANOUT, SMALL = 128, 8, 24
+LEAF, FANOUT, SMALL = 128, 8, 16
 
 _SALT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -55,8 +55,9 @@ def set_key(text: Column) -> Column:
 
 
 def classes(records: DataFrame) -> DataFrame:
-    """(rid, last, text): one row for each distinct word set, with the smallest and largest id that has it."""
-    return records.groupBy(set_key(F.col("text")).alias("key")).agg(F.min("id").alias("rid"), F.max("id").alias("last"), F.min("text").alias("text")).drop("key")
+    """(rid, last, text, w): one row for each distinct word set, with the smallest and largest id that has it."""
+    one = records.groupBy(set_key(F.col("text")).alias("key")).agg(F.min("id").alias("rid"), F.max("id").alias("last"), F.min("text").alias("text"))
+    return one.select("rid", "last", "text", word_hashes(F.col("text")).alias("w"))
 
 
 def class_members(records: DataFrame) -> DataFrame:
@@ -79,24 +80,32 @@ def _among(x: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
 
 
 class Ordered:
-    """Word hashes of a batch of records, each record's from rare to frequent."""
+    """Word hashes of a batch of records, each record's from rare to frequent.
+
+    Hashes have 32 bits. Two words of a record that share one stay two elements, so sizes are exact and what
+    records share in hashes is never less than what they share in words.
+    """
 
     def __init__(self, lists: pa.ListArray, frequent: np.ndarray, counts: np.ndarray, num: int, den: int):
         offsets = lists.offsets.to_numpy().astype(np.int64)
-        values = lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].view(np.uint64)
+        self.values = lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].view(np.uint32)
         self.start = offsets[:-1] - offsets[0]
         self.size = np.diff(offsets)
         record = np.repeat(np.arange(len(self.size)), self.size)
-        place = np.minimum(np.searchsorted(frequent, values), max(len(frequent) - 1, 0))
-        common = frequent[place] == values if len(frequent) else np.zeros(len(values), dtype=bool)
-        weight = np.where(common, counts[place] if len(frequent) else 0, 0)
-        self.words = values[np.lexsort((values, weight, record))]
+        key = self.values.astype(np.int64)
+        if len(frequent):
+            place = np.minimum(np.searchsorted(frequent, self.values), len(frequent) - 1)
+            key += np.where(frequent[place] == self.values, counts[place], 0) << np.int64(32)
+        self.words = self.values[np.lexsort((key, record))].astype(np.uint64)
         self.need = -(-num * self.size // den)
-        self.bitmap = np.zeros((len(self.size), 2), dtype=np.uint64)
-        bit = _mix(values + _SALT) & np.uint64(127)
-        for half in (0, 1):
-            own = (bit >> np.uint64(6)) == half
-            np.bitwise_or.at(self.bitmap[:, half], record[own], np.uint64(1) << (bit[own] & np.uint64(63)))
+
+    def bitmaps(self) -> np.ndarray:
+        """128 bits a record, one set for each word."""
+        bit = _mix(self.values.astype(np.uint64) + _SALT) & np.uint64(127)
+        one = np.uint64(1) << (bit & np.uint64(63))
+        high = bit > np.uint64(63)
+        halves = [np.where(high, np.uint64(0), one), np.where(high, one, np.uint64(0))]
+        return np.column_stack([np.bitwise_or.reduceat(h, self.start) if len(self.start) else h for h in halves])
 
     def signatures(self, dense: list[np.ndarray], only_level: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(record, signature) under which the records are filed; with ``only_level``, all of that level instead.
@@ -132,7 +141,7 @@ class Ordered:
 
 def level_one(word_hash: np.ndarray) -> np.ndarray:
     """The signature of a single word."""
-    return _mix(word_hash.view(np.uint64) + _SALT)
+    return _mix(word_hash.astype(np.uint64) + _SALT)
 
 
 class SignatureTree:
@@ -211,7 +220,13 @@ def group_pairs(sig: np.ndarray, rid: np.ndarray, size: np.ndarray, bitmap: np.n
         hit = may_agree(size[i], bitmap[i], size[i + lag], bitmap[i + lag], num, den)
         left.append(i[hit])
         right.append(i[hit] + lag)
-    for s, n in zip(starts[lengths > SMALL], lengths[lengths > SMALL], strict=True):
+    for s, n in zip(starts[lengths > SMALL].tolist(), lengths[lengths > SMALL].tolist(), strict=True):
+        if n <= LEAF:  # a tree of one leaf
+            own_size, own_bits = size[s : s + n], bitmap[s : s + n]
+            i, j = np.nonzero(np.triu(may_agree(own_size[:, None], own_bits[:, None], own_size[None], own_bits[None], num, den), 1))
+            left.append(i + s)
+            right.append(j + s)
+            continue
         i, j = SignatureTree(size[s : s + n], bitmap[s : s + n], num, den).pairs()
         left.append(i + s)
         right.append(j + s)
@@ -235,14 +250,19 @@ def _dense_words(hashed: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
             break
         except TooLarge:
             limit *= 2
-    h = np.array([r.h for r in rows], dtype=np.int64).view(np.uint64)
+    h = np.array([r.h for r in rows], dtype=np.int32).view(np.uint32)
     order = np.argsort(h)
     return h[order], np.array([r.n for r in rows], dtype=np.int64)[order]
 
 
+def word_hashes(text: Column) -> Column:
+    """32-bit hashes of the distinct words, as many as there are words."""
+    return F.transform(words(text), lambda w: F.hash(w))
+
+
 def candidate_pairs(records: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
-    """(a, b) with a < b of the ``records`` (rid, text) that may agree in num / den of their words; a superset."""
-    hashed = records.select("rid", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("w"))
+    """(a, b) with a < b of the ``records`` (rid, w: hashes of the words) that may agree in num / den; a superset."""
+    hashed = records.select("rid", "w")
     n = records.count()
     frequent, counts = _dense_words(hashed, n)
     dense = [np.sort(level_one(frequent))]
@@ -273,7 +293,7 @@ def candidate_pairs(records: DataFrame, num: int = NUM, den: int = DEN) -> DataF
             own = Ordered(batch.column(1), frequent, counts, num, den)
             record, sig = own.signatures(dense)
             rid = batch.column(0).to_numpy()[record]
-            bits = own.bitmap[record].view(np.int64)
+            bits = own.bitmaps()[record].view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(sig.view(np.int64)), pa.array(rid), pa.array(own.size[record].astype(np.int32)), pa.array(bits[:, 0]), pa.array(bits[:, 1])],
                 names=["sig", "rid", "size", "b0", "b1"],
@@ -309,13 +329,17 @@ def candidate_pairs(records: DataFrame, num: int = NUM, den: int = DEN) -> DataF
 
 
 def similar_pairs(records: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
-    """(a, b, last_a, last_b) of the ``records`` (rid, last, text) whose words agree, verified on the words."""
-    own = records.select("rid", "last", words(F.col("text")).alias("w"))
-    found = candidate_pairs(records.select("rid", "text"), num, den)
-    first = found.join(own.select(F.col("rid").alias("a"), F.col("last").alias("last_a"), F.col("w").alias("wa")), "a")
-    both = first.join(own.select(F.col("rid").alias("b"), F.col("last").alias("last_b"), F.col("w").alias("wb")), "b")
-    shared = F.size(F.array_intersect("wa", "wb"))
-    return both.filter(shared * (den + num) >= num * (F.size("wa") + F.size("wb"))).select("a", "b", "last_a", "last_b")
+    """(a, b, last_a, last_b) of the ``records`` (rid, last, text, w) whose words agree, verified on the words.
+
+    Each side of a candidate fetches its text by one join; the two sides then meet by the pair.
+    """
+    found = candidate_pairs(records.select("rid", "w"), num, den)
+    sides = found.select("a", "b", F.explode(F.array("a", "b")).alias("rid")).join(records.select("rid", "last", "text"), "rid")
+    own = F.struct("rid", "last", "text")
+    both = sides.groupBy("a", "b").agg(F.min(own).alias("x"), F.max(own).alias("y")).filter("x.rid < y.rid")
+    wa, wb = words(F.col("x.text")), words(F.col("y.text"))
+    agree = F.size(F.array_intersect(wa, wb)) * (den + num) >= num * (F.size(wa) + F.size(wb))
+    return both.filter(agree).select("a", "b", F.col("x.last").alias("last_a"), F.col("y.last").alias("last_b"))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
