@@ -8,10 +8,10 @@ hand-checked labels, and the most probable form is given.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ MAX_WEAK, MAX_LABELS, MAX_WORDS = 8_000, 6_000, 200_000
 STATS = ("n_words", "mean_word_length", "symbol_ratio", "punctuated_line_share", "common_word_share")
 FEATURES = (
     *STATS, "digit_ratio", "space_ratio", "lines", "mean_line_words", "bullet_share", "short_share", "very_short_share", "item_share", "cell_share",
-    "steady_cell_share", "gap_share", "junk_line_share", "repeat_line_share", "distinct_words", "top_word_share", "zlib_ratio", "vowel_word_share",
+    "steady_cell_share", "gap_share", "junk_line_share", "repeat_line_share", "distinct_words", "top_word_share", "vowel_word_share",
     "odd_char_ratio", "latin1_ratio", "long_word_share", "mixed_word_share", "short_common", "long_share", "sentence_share", "stop_ratio",
     "capital_line_share", "first_word_share", "repeat_sentence_share",
 )
@@ -40,8 +40,7 @@ _GAP2, _GAP3 = re.compile(r"\S {2,}(?=\S)"), re.compile(r"(?:^| {2}) {2,}(?=\S)|
 _VOWEL = re.compile(r"[aeiouyäöüéèàâêîôûœаеёиоуыэюя]", re.IGNORECASE)
 _SENTENCE = re.compile(r"[.!?…]+\s+|\n+")
 _STOP = re.compile(r"[.!?…]+(?:\s+|$)")
-_DIGITS, _SPACES, _RUN = re.compile(r"\d+"), re.compile(r"\s+"), re.compile(r"(\S)\1{7,}")
-_MIXED = re.compile(r"(?<![^\W_])(?=[^\W_]*\d)(?=[^\W_]*[^\W\d_])[^\W_]+")
+_DIGITS, _RUN = re.compile(r"\d+"), re.compile(r"(\S)\1{7,}")
 _ODD = re.compile(r"[\u0100-\u03ef\u0500-\u200f\u2028-\u20ab\u20ad-\u2102\u2104-\u2121\u2123-\u218f\u2194-\u2263\u2266-\U0010ffff]+")
 _LATIN1 = re.compile(r"[\x80-\x9f¡-¦¨-ª¬-¯´-¶¸-º¼-¿ÐÑÃÂ]+")
 
@@ -59,15 +58,32 @@ def _cells(line: str) -> int:
     return max(bars if bars > 1 else 0, tabs, semis if semis > 1 else 0, commas if commas > 1 else 0, gaps)
 
 
-def _unreadable(line: str, own: list[str]) -> bool:
+def _unreadable(line: str, own: list[str], cells: int, runs: bool) -> bool:
     """A line that is no writing: one character over and over, mostly signs, or words no one could say."""
     size = len(line)
     if size < 8:
         return False
     letters, inked = _size(own), size - line.count(" ")
-    if letters < 0.15 * inked or letters < 0.45 * inked and not (line.count("|") > 2 or line.count(",") > 3 or line.count(";") > 3 or line.count("\t")):
+    if letters < 0.15 * inked or letters < 0.45 * inked and not cells:
         return True
-    return any(len(w) > 40 for w in own) or bool(_RUN.search(line)) and _size([m.group() for m in _RUN.finditer(line)]) * 2 > size
+    if own and max(map(len, own)) > 40:
+        return True
+    return runs and _size([m.group() for m in _RUN.finditer(line)]) * 2 > size
+
+
+#: What is known of a word: lower case, length, and what its occurrences add to the sums of digits, alphabetic
+#: words, words with a vowel, characters of words over 24 long, and characters of words with letters and digits.
+_MET: dict[str, tuple[str, int, int, int, int, int, int]] = {}
+
+
+def _known(word: str) -> tuple[str, int, int, int, int, int, int]:
+    low, size = word.lower(), len(word)
+    if len(_MET) > 300_000:
+        _MET.clear()
+    digits, alpha = _size(_DIGITS.findall(word)), low.isalpha()
+    mixed = size if digits and any(map(str.isalpha, word)) else 0
+    found = _MET[word] = (low, size, digits, int(alpha), int(alpha and _VOWEL.search(low) is not None), size if size > 24 else 0, mixed)
+    return found
 
 
 def statistics(text: str | None, common: dict[str, frozenset[str]]) -> list[float]:
@@ -76,20 +92,34 @@ def statistics(text: str | None, common: dict[str, frozenset[str]]) -> list[floa
         return [0.0] * len(FEATURES)
     n = len(text)
     lines = [x for x in text.splitlines() if x.strip()] or [text]
-    chars = sum(map(len, lines))
-    per_line = [_WORD.findall(line) for line in lines]
-    counts = Counter(w for own in per_line for w in own)
-    low: Counter = Counter()
+    chars = _size(lines)
+    per_line = list(map(_WORD.findall, lines))
+    counts = Counter(chain.from_iterable(per_line))
+    low: dict[str, int] = {}
+    letters = digits = alpha = voiced = long_words = mixed = 0
+    met = _MET.get
     for w, k in counts.items():
-        low[w.lower()] += k
+        lower, size, d, al, vo, lo, mi = met(w) or _known(w)
+        low[lower] = low.get(lower, 0) + k
+        letters += size * k
+        if al:
+            alpha += k
+            voiced += vo * k
+        elif d:
+            digits += d * k
+            mixed += mi * k
+        long_words += lo * k
     n_words = sum(counts.values())
-    letters = sum(len(w) * k for w, k in counts.items())
-    best = max(common.values(), key=lambda ws: sum(low[w] for w in ws), default=frozenset())
-    n_common = sum(low[w] for w in best)
-    shown = best | {w.capitalize() for w in best}
+    n_common, best = 0, frozenset()
+    for ws in common.values():
+        own_common = sum([low[w] for w in low.keys() & ws])
+        if own_common > n_common:
+            n_common, best = own_common, ws
+    shown = best | {w.capitalize() for w in best} | {w.upper() for w in best} if n_common else best
+    runs = _RUN.search(text) is not None
     bullet = short = tiny = item = cell = steady = gap = junk = repeat = long = short_common = short_words = punct = capital = 0
     seen: set[str] = set()
-    first: Counter = Counter()
+    first: dict[str, int] = {}
     perhaps: list[tuple[str, int]] = []  # lines that are items if others begin as they do
     before = -1
     for line, own in zip(lines, per_line, strict=True):
@@ -102,7 +132,7 @@ def statistics(text: str | None, common: dict[str, frozenset[str]]) -> list[floa
         if k <= 7:
             short += size
             short_words += k
-            said = sum(w in shown for w in own)
+            said = len([1 for w in own if w in shown])
             short_common += said
             if k <= 3:
                 tiny += size
@@ -118,7 +148,7 @@ def statistics(text: str | None, common: dict[str, frozenset[str]]) -> list[floa
                 steady += size
         if "  " in plain and len(_GAP2.findall(plain)) < k - 1:
             gap += size
-        if _unreadable(plain, own):
+        if _unreadable(plain, own, cells, runs):
             junk += size
         punct += last in ".!?…:;”»"
         capital += plain[0].isupper()
@@ -126,25 +156,25 @@ def statistics(text: str | None, common: dict[str, frozenset[str]]) -> list[floa
             repeat += size
         seen.add(plain)
         if k:
-            first[own[0] if not mark or k < 2 or len(own[0]) > 2 else own[1]] += 1
+            head = own[0] if not mark or k < 2 or len(own[0]) > 2 else own[1]
+            first[head] = first.get(head, 0) + 1
         before = cells
-    item += sum(size for word, size in perhaps if first[word] > 2)
+    item += sum(size for word, size in perhaps if first.get(word, 0) > 2)
     parts = [s.strip() for s in _SENTENCE.split(text) if s and not s.isspace()]
     part_chars = _size(parts) or 1
     repeated = part_chars - _size(list(set(parts)))
-    flowing = sum(len(s) for s in _STOP.split(text) if 5 <= s.count(" ") + s.count("\n") <= 60)
-    raw = text.encode("utf-8", "replace")
-    spaces = _size(_SPACES.findall(text))
-    alphabetic = {w: k for w, k in low.items() if w.isalpha()}
-    voiced = sum(k for w, k in alphabetic.items() if _VOWEL.search(w))
+    sentences = _STOP.split(text)
+    flowing = _size([s for s in sentences if 5 <= s.count(" ") + s.count("\n") <= 60])
+    spaces = n - len("".join(text.split()))
+    odd, latin1 = (0, 0) if text.isascii() else (_size(_ODD.findall(text)), _size(_LATIN1.findall(text)))
     n_lines, n_words1 = len(lines), max(n_words, 1)
     return [
         n_words, letters / n_words1, (n - letters - spaces) / n, punct / n_lines, n_common / n_words1,
-        _size(_DIGITS.findall(text)) / n, spaces / n, n_lines, n_words / n_lines, bullet / chars, short / chars, tiny / chars, item / chars, cell / chars,
-        steady / chars, gap / chars, junk / chars, repeat / chars, len(low) / n_words1, max(low.values(), default=0) / n_words1, len(zlib.compress(raw, 1)) / len(raw),
-        voiced / max(sum(alphabetic.values()), 1), _size(_ODD.findall(text)) / n, _size(_LATIN1.findall(text)) / n,
-        sum(len(w) * k for w, k in counts.items() if len(w) > 24) / n, _size(_MIXED.findall(text)) / n, short_common / max(short_words, 1), long / chars,
-        flowing / n, len(_STOP.findall(text)) / n_words1, capital / n_lines, max(first.values(), default=0) / n_lines, repeated / part_chars,
+        digits / n, spaces / n, n_lines, n_words / n_lines, bullet / chars, short / chars, tiny / chars, item / chars, cell / chars,
+        steady / chars, gap / chars, junk / chars, repeat / chars, len(low) / n_words1, max(low.values(), default=0) / n_words1,
+        voiced / max(alpha, 1), odd / n, latin1 / n,
+        long_words / n, mixed / n, short_common / max(short_words, 1), long / chars,
+        flowing / n, (len(sentences) - 1) / n_words1, capital / n_lines, max(first.values(), default=0) / n_lines, repeated / part_chars,
     ]
 
 
