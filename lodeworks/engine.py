@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodeworks.operators import adapters, answer, gaps, graph, hypotheses, ingest, query, resolve, search
 from lodeworks.schema import Graph
+from lodeworks.session import cut_lineage
 from lodeworks.sources.files import read_records, with_route
 from lodeworks.sources.store import Store
 
@@ -47,12 +48,21 @@ class Engine:
         return self.ingest_records(with_route(read_records(self.spark, path, upload=upload)), at)
 
     def ingest_records(self, routed: DataFrame, at: str | None = None) -> dict[str, int]:
+        routed = cut_lineage(routed)
+        held = {r.route for r in routed.select("route").distinct().collect()}
         of = lambda *routes: routed.filter(F.col("route").isin(*routes))
-        counts = self.ingest_reference(adapters.entity_inputs(of("reference")), adapters.rule_inputs(of("rules")), at)
-        counts |= self.ingest_experiments(adapters.experiment_inputs(of("experiments")), at)
-        traces = counts.pop("decision_traces", 0)
-        counts |= self.ingest_documents(adapters.document_inputs(of("documents", "fallback")), at)
-        return counts | {"decision_traces": traces + counts["decision_traces"]}
+        counts = {"entities": 0, "coverage_rules": 0, "experiments": 0, "observations": 0, "documents": 0, "decision_traces": 0}
+        parts = (
+            (("reference", "rules"), lambda: self.ingest_reference(cut_lineage(adapters.entity_inputs(of("reference"))), cut_lineage(adapters.rule_inputs(of("rules"))), at)),
+            (("experiments",), lambda: self.ingest_experiments(cut_lineage(adapters.experiment_inputs(of("experiments"))), at)),
+            (("documents", "fallback"), lambda: self.ingest_documents(cut_lineage(adapters.document_inputs(of("documents", "fallback"))), at)),
+        )
+        for routes, run in parts:
+            if held & set(routes):
+                own = run()
+                own["decision_traces"] = own.get("decision_traces", 0) + counts["decision_traces"]
+                counts |= own
+        return counts
 
     # queries
 

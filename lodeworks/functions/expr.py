@@ -34,7 +34,7 @@ def python_float(c: Column) -> Column:
     sign = F.when(c < 0, "-").otherwise("")
     whole = F.concat(F.rpad(digits, 400, "0").substr(F.lit(1), power + 1), F.lit("."), F.when(F.length(digits) > power + 1, digits.substr(power + 2, F.lit(400))).otherwise("0"))
     small = F.concat(F.lit("0."), F.repeat(F.lit("0"), F.abs(power) - 1), digits)
-    science = F.concat(F.regexp_replace(mantissa, r"\.0$", ""), F.when(power < 0, "e-").otherwise("e+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
+    science = F.concat(F.regexp_replace(mantissa, r"\.0$", ""), F.when(power < 0, "e-").otherwise("e+"), F.when(F.abs(power) < 10, "0").otherwise(""), F.abs(power).cast("string"))
     return (
         F.when(~s.contains("E"), F.when(s == "NaN", "nan").when(s == "Infinity", "inf").when(s == "-Infinity", "-inf").otherwise(s))
         .when((size >= 1e7) & (size < 1e16), F.concat(sign, whole)).when((size < 1e-3) & (size >= 1e-4), F.concat(sign, small)).otherwise(F.concat(sign, science))

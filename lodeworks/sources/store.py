@@ -29,10 +29,10 @@ class Store:
         return self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.root, *parts)))
 
     def _versions(self) -> dict[str, str]:
-        fs, pointer = self._fs(), self._path("_current")
+        fs, pointer = self._fs(), self._path("current")
         if not fs.exists(pointer):
             return {}
-        rows = self.spark.read.text(f"{self.root}/_current").collect()
+        rows = self.spark.read.text(f"{self.root}/current").collect()
         return dict(r.value.split("\t") for r in rows if r.value)
 
     def load(self) -> Graph:
@@ -52,7 +52,7 @@ class Store:
         return self.load()
 
     def _switch(self, versions: dict[str, str]) -> None:
-        fs, staged, pointer = self._fs(), self._path(f"_next-{uuid4().hex}"), self._path("_current")
+        fs, staged, pointer = self._fs(), self._path(f"next-{uuid4().hex}"), self._path("current")
         out = fs.create(staged, True)
         out.write(bytearray("".join(f"{k}\t{v}\n" for k, v in sorted(versions.items())), "utf-8"))
         out.close()

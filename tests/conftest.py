@@ -13,7 +13,7 @@ os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
 def spark():
     from lodeworks.session import local_session
 
-    session = local_session("4", 4, "tests")
+    session = local_session("4", 2, "tests")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
