@@ -73,7 +73,7 @@ def _id(kind: str, name: str) -> str:
     return f"{kind}_{hashlib.sha1(name.encode()).hexdigest()[:16]}"
 
 
-def _r(c: Column | str, n: int = 6) -> Column:
+def _r(c: Column | str, n: int = 9) -> Column:
     return F.round(c, n)
 
 
@@ -217,7 +217,7 @@ def material_mode_observations(spark, folder):
     return r.observations.select("experiment_id", "evidence_id", "value", "confidence")
 
 
-@registered("select round(avg(confidence), 6) as confidence from obs where p_brand = 'Brand#12'", "obs")
+@registered("select round(avg(confidence), 9) as confidence from obs where p_brand = 'Brand#12'", "obs")
 def material_mode_confidence(spark, folder):
     g = _star(spark, folder)
     obs = query.observations_of(g.observations, material_id=_id("material", "Brand#12"))
@@ -398,8 +398,8 @@ def same_pair_count(spark, folder):
     return by.join(same, ["property_id", "mode_id"]).select("material_id", "property_id", "mode_id", "n", "same")
 
 
-@registered("""select id as subject_id, round(least(1.0, 0.7 + 0.3 * (1 - least(n_obs / 20.0, 1.0))), 6) as novelty, round(0.45 + 0.2 * (1 - mean_evidence), 6) as risk, round(0.7 + 0.15 * (1 - least(n_evidence / 30.0, 1.0)), 6) as value_score,
- round(mean_obs * 0.3, 6) as evidence_strength, round(0.35 * (0.7 + 0.15 * (1 - least(n_evidence / 30.0, 1.0))) + 0.25 * mean_obs * 0.3 + 0.2 * least(1.0, 0.7 + 0.3 * (1 - least(n_obs / 20.0, 1.0))) + 0.2 * (1 - (0.45 + 0.2 * (1 - mean_evidence))), 6) as final_score
+@registered("""select id as subject_id, round(least(1.0, 0.7 + 0.3 * (1 - least(n_obs / 20.0, 1.0))), 9) as novelty, round(0.45 + 0.2 * (1 - mean_evidence), 9) as risk, round(0.7 + 0.15 * (1 - least(n_evidence / 30.0, 1.0)), 9) as value_score,
+ round(mean_obs * 0.3, 9) as evidence_strength, round(0.35 * (0.7 + 0.15 * (1 - least(n_evidence / 30.0, 1.0))) + 0.25 * mean_obs * 0.3 + 0.2 * least(1.0, 0.7 + 0.3 * (1 - least(n_obs / 20.0, 1.0))) + 0.2 * (1 - (0.45 + 0.2 * (1 - mean_evidence))), 9) as final_score
 from missing, tot""", "obs", "evid", "want", "mine")
 def hyp_gap_scores(spark, folder):
     g, obs, evidence, hits = _some(spark, folder)
@@ -413,8 +413,8 @@ _EFFECT = """effect as (select *, greatest(0.2, 0.6 - 0.1 * c - 0.05 * least(n_o
 _CTES["effect"] = _EFFECT
 
 
-@registered("""select round(least(1.0, greatest(0.0, rsk)), 6) as risk, round(nov, 6) as novelty, round(val, 6) as value_score, round(s, 6) as evidence_strength,
- round(least(1.0, greatest(0.0, 0.35 * val + 0.25 * s + 0.2 * nov + 0.2 * (1 - rsk))), 6) as final_score, count(*) as n from effect group by 1, 2, 3, 4, 5""", "obs", "evid", "mine", "effect")
+@registered("""select round(least(1.0, greatest(0.0, rsk)), 9) as risk, round(nov, 9) as novelty, round(val, 9) as value_score, round(s, 9) as evidence_strength,
+ round(least(1.0, greatest(0.0, 0.35 * val + 0.25 * s + 0.2 * nov + 0.2 * (1 - rsk))), 9) as final_score, count(*) as n from effect group by 1, 2, 3, 4, 5""", "obs", "evid", "mine", "effect")
 def hyp_effect_scores(spark, folder):
     _, obs, evidence, hits = _some(spark, folder)
     out = hypotheses.effect_hypotheses(obs, evidence, hypotheses.totals(obs, evidence, hits), _KPI)
@@ -422,7 +422,7 @@ def hyp_effect_scores(spark, folder):
     return out.select(*[_r(c).alias(c) for c in cols]).groupBy(*cols).agg(F.count("*").alias("n"))
 
 
-@registered(f"""select 'doc_text_' || substr(sha1(doc_id::varchar), 1, 16) as subject_id, 0.45::double as novelty, 0.4::double as risk, round(0.6 + least(0.2, n * 0.02), 6)::double as value_score, round(least(0.7, mean_evidence * 0.5 + 0.25), 6) as evidence_strength
+@registered(f"""select 'doc_text_' || substr(sha1(doc_id::varchar), 1, 16) as subject_id, 0.45::double as novelty, 0.4::double as risk, round(0.6 + least(0.2, n * 0.02), 9)::double as value_score, round(least(0.7, mean_evidence * 0.5 + 0.25), 9) as evidence_strength
 from (select *, count(*) over () as n from (select doc_id, text, ({_SCORE})::int as score from texts where ({_SCORE}) > 0 order by score desc, doc_id limit 12)), tot where trim(text) <> ''""", "texts", "obs", "evid", "mine")
 def hyp_literature_scores(spark, folder):
     _, obs, evidence, hits = _some(spark, folder)
@@ -430,14 +430,14 @@ def hyp_literature_scores(spark, folder):
     return out.select("subject_id", *[_r(c).alias(c) for c in ("novelty", "risk", "value_score", "evidence_strength")])
 
 
-@registered("select rank::int as rank, hypothesis_type, final_score from (select row_number() over (order by f desc) as rank, 'coverage_gap' as hypothesis_type, round(f, 6) as final_score from (select 0.35 * (0.7 + 0.15 * (1 - least(n_evidence / 30.0, 1.0))) + 0.25 * mean_obs * 0.3 + 0.2 * least(1.0, 0.7 + 0.3 * (1 - least(n_obs / 20.0, 1.0))) + 0.2 * (1 - (0.45 + 0.2 * (1 - mean_evidence))) as f from missing, tot)) where rank <= 5", "obs", "evid", "want", "mine")
+@registered("select rank::int as rank, hypothesis_type, final_score from (select row_number() over (order by f desc) as rank, 'coverage_gap' as hypothesis_type, round(f, 9) as final_score from (select 0.35 * (0.7 + 0.15 * (1 - least(n_evidence / 30.0, 1.0))) + 0.25 * mean_obs * 0.3 + 0.2 * least(1.0, 0.7 + 0.3 * (1 - least(n_obs / 20.0, 1.0))) + 0.2 * (1 - (0.45 + 0.2 * (1 - mean_evidence))) as f from missing, tot)) where rank <= 5", "obs", "evid", "want", "mine")
 def hyp_topk_ranked(spark, folder):
     g, obs, evidence, hits = _some(spark, folder)
     out = hypotheses.gap_hypotheses(gaps.data_gaps(g), obs, hypotheses.totals(obs, evidence, hits), _KPI)
     return hypotheses.top_ranked(out, 5).select("rank", "hypothesis_type", _r("final_score").alias("final_score"))
 
 
-@registered("""select id as subject_id, case when brand = 'Brand#1' then 0.0 when brand = 'Brand#2' then 0.9 else round(0.35 * least(1.0, v + (case when brand = 'Brand#3' then 0.1 else 0 end)) + 0.25 * s + 0.2 * n + 0.2 * (1 - r), 6) end as final_score,
+@registered("""select id as subject_id, case when brand = 'Brand#1' then 0.0 when brand = 'Brand#2' then 0.9 else round(0.35 * least(1.0, v + (case when brand = 'Brand#3' then 0.1 else 0 end)) + 0.25 * s + 0.2 * n + 0.2 * (1 - r), 9) end as final_score,
  case when brand = 'Brand#3' then 'promising' else '' end as note from (select *, 0.7 + 0.15 * (1 - least(n_evidence / 30.0, 1.0)) as v, mean_obs * 0.3 as s, least(1.0, 0.7 + 0.3 * (1 - least(n_obs / 20.0, 1.0))) as n, 0.45 + 0.2 * (1 - mean_evidence) as r from missing, tot)""", "obs", "evid", "want", "mine")
 def expert_adjust(spark, folder):
     g, obs, evidence, hits = _some(spark, folder)
