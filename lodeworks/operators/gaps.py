@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodeworks.functions.expr import entity_in_sources, name_key, stable_id
 from lodeworks.operators.resolve import rule_entities
 from lodeworks.schema import Graph
-from lodeworks.session import small_side
+from lodeworks.session import cut_lineage, small_side
 
 #: Rows up to which a dimension or the observed triples are broadcast.
 BROADCAST_ROWS = 500_000
@@ -31,7 +31,7 @@ def expected_triples(rules: DataFrame, entities: DataFrame, mode: str = "strict"
 
     Names that resolve to nothing vanish; two that resolve to one entity give two equal rows.
     """
-    named = rule_entities(rules, entities, mode)
+    named = cut_lineage(rule_entities(rules, entities, mode))  # used three times; as small as the rules' lists
     of = lambda kind: named.filter(F.col("kind") == kind).select("rule_id", F.col("entity_id").alias(f"{kind}_id"))
     return rules.select("rule_id", "name", "scope").join(of("material"), "rule_id").join(of("mode"), "rule_id").join(of("property"), "rule_id")
 
@@ -52,7 +52,7 @@ def data_gaps(graph: Graph, scope: str | None = None, where: GapFilter | None =
     seen = graph.observations.select("material_id", "mode_id", "property_id").distinct()
     missing = want.join(small_side(seen, BROADCAST_ROWS), ["material_id", "mode_id", "property_id"], "left_anti")
     if source_ids is not None:
-        matched = small_side(graph.entities.filter(entity_in_sources(source_ids)).select("id"), BROADCAST_ROWS)
+        matched = small_side(graph.entities.filter(F.col("kind").isin("material", "mode", "property") & entity_in_sources(source_ids)).select("id"), BROADCAST_ROWS)
         kinds = ("material_id", "mode_id", "property_id")
         if any_source:
             hit = missing.withColumn("_any", F.lit(False))

@@ -34,6 +34,11 @@ class PropertyResult:
     evidence: DataFrame
 
 
+def of_kind(graph: Graph, kind: str) -> DataFrame:
+    """Entities of one kind; a table partitioned or built by kind is pruned to it."""
+    return graph.entities.filter(F.col("kind") == kind)
+
+
 def by_ids(table: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of ``table`` whose id is among the one column of ``ids``; nulls match nothing."""
     return table.join(ids.toDF("id").distinct(), "id", "left_semi")
@@ -65,10 +70,10 @@ def query_material_mode(graph: Graph, material: str, mode: str | None = None, pr
     of = lambda kind, name: require_one(graph.entities, kind, name, resolution) if name else None
     ids = {"material_id": of("material", material), "mode_id": of("mode", mode), "property_id": of("property", property_name)}
     obs = observations_of(graph.observations, **ids)
-    experiments = by_ids(graph.entities, obs.select("experiment_id"))
+    experiments = by_ids(of_kind(graph, "experiment"), obs.select("experiment_id"))
     findings = graph.decision_traces.join(obs.select("experiment_id").distinct(), "experiment_id", "left_semi").orderBy("timestamp", "seq")
     proof = obs.select("evidence_id").unionByName(findings.select(F.explode("evidence_ids").alias("evidence_id")))
-    own = graph.entities.filter(F.col("id") == ids["material_id"])
+    own = of_kind(graph, "material").filter(F.col("id") == ids["material_id"])
     default = own.select("confidence").first()
     hits = search_text_units(graph.text_units, " ".join(filter(None, (material, mode, property_name))), 5)
     return MaterialModeResult(own, obs, experiments, findings, by_ids(graph.evidence, proof), hits, mean_confidence(obs, default.confidence if default else None))
@@ -80,7 +85,7 @@ def query_property(graph: Graph, property_name: str, *, material: str | None = N
     pid = of("property", property_name)
     obs = observations_of(graph.observations, property_id=pid, material_id=of("material", material), mode_id=of("mode", mode), min_value=min_value, max_value=max_value)
     return PropertyResult(
-        graph.entities.filter(F.col("id") == pid), obs, by_ids(graph.entities, obs.select("material_id")), by_ids(graph.entities, obs.select("experiment_id")), by_ids(graph.evidence, obs.select("evidence_id")),
+        of_kind(graph, "property").filter(F.col("id") == pid), obs, by_ids(of_kind(graph, "material"), obs.select("material_id")), by_ids(of_kind(graph, "experiment"), obs.select("experiment_id")), by_ids(graph.evidence, obs.select("evidence_id")),
     )
 
 

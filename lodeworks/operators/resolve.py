@@ -57,7 +57,7 @@ def resolve_one(entities: DataFrame, kind: str | None, name: str, mode: str = "s
     """Id of one name; without a kind, kinds are tried in their order. One bounded job of at most eight rows."""
     kinds = [kind] if kind else list(ENTITY_KINDS)
     asked = entities.sparkSession.createDataFrame([(k, name) for k in kinds], "kind string, name string")
-    best = resolve_names(asked, entities, mode).filter("entity_id is not null").orderBy(kind_order(F.col("kind"))).limit(1).collect()
+    best = resolve_names(asked, entities.filter(F.col("kind").isin(*kinds)), mode).filter("entity_id is not null").orderBy(kind_order(F.col("kind"))).limit(1).collect()
     return best[0].entity_id if best else None
 
 
@@ -141,5 +141,6 @@ def rule_entities(rules: DataFrame, entities: DataFrame, mode: str = "strict") -
     for kind, column in (("material", "material_names"), ("mode", "mode_names"), ("property", "property_names")):
         own = rules.select("rule_id", F.lit(kind).alias("kind"), F.posexplode(column).alias("pos", "name"))
         each = own if each is None else each.unionByName(own)
-    return resolve_names(each, entities, mode).filter("entity_id is not null")
+    own = entities.filter(F.col("kind").isin("material", "mode", "property"))
+    return resolve_names(each, own, mode).filter("entity_id is not null")
 
