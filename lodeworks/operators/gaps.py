@@ -12,7 +12,7 @@ from lodeworks.operators.resolve import rule_entities
 from lodeworks.schema import Graph
 from lodeworks.session import cut_lineage, small_side
 
-#: Rows up to which a dimension or the observed triples are broadcast.
+#: Rows up to which a dimension is broadcast.
 BROADCAST_ROWS = 500_000
 GAP = "id string, scope string, rule_id string, material_id string, mode_id string, property_id string, reason string, confidence double, metadata map<string,string>"
 
@@ -50,7 +50,7 @@ def data_gaps(graph: Graph, scope: str | None = None, where: GapFilter | None =
             own = graph.entities.filter((F.col("kind") == kind) & (name_key(F.col("canonical_name"), mode) == name_key(F.lit(name), mode)))
             want = want.join(own.select(F.col("id").alias(f"{kind}_id")), f"{kind}_id", "left_semi")
     seen = graph.observations.select("material_id", "mode_id", "property_id").distinct()
-    missing = want.join(small_side(seen, BROADCAST_ROWS), ["material_id", "mode_id", "property_id"], "left_anti")
+    missing = want.join(seen, ["material_id", "mode_id", "property_id"], "left_anti")  # adaptive execution knows the size of seen
     if source_ids is not None:
         matched = small_side(graph.entities.filter(F.col("kind").isin("material", "mode", "property") & entity_in_sources(source_ids)).select("id"), BROADCAST_ROWS)
         kinds = ("material_id", "mode_id", "property_id")
