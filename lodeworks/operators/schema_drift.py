@@ -16,10 +16,13 @@ import re
 from collections.abc import Iterator
 from itertools import product
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodeworks.session import cut_lineage
+
 FILE_KEY = ("origin", "feed", "section", "file_no")
 #: Rounds of propagation at most, and the residual at which the scores count as converged.
 MAX_ROUNDS, RESIDUAL = 60, 1e-4
@@ -250,28 +253,169 @@ def changes(bags: DataFrame) -> DataFrame:
     return joined.mapInArrow(match, CHANGES)
 
 
-def unified_rows(bags: DataFrame) -> DataFrame:
-    """All entries as one consistent table: FILE_KEY, entry, canonical_id, properties MAP<STRING,STRING>.
+#: Kinds of links between two names of a section, as rows of (section, link, a, b, both, equal, chance).
+_LINK = "section string, link string, a string, b string, both bigint, equal bigint, chance double"
+#: By how many standard deviations (and ids besides) agreeing ids must exceed chance.
+_SURE, _MORE = 3.0, 2
+
+
+def one_name(names: dict[str, tuple[bool, int]], agree: dict[tuple[str, str], tuple[int, int, float]], renamed: set[tuple[str, str]], apart: set[tuple[str, str]]) -> dict[str, str]:
+    """The one name of each of a section's ``names`` (in the house list, number of files), over all its feeds.
 
-    Each field carries the name it has in the last file of its feed: the feed's renames, in file order, are
-    folded over the name it had. Values are cast to the one type that all values of that field and section
-    allow (number, boolean or text). Entries without a readable bag keep a row with an empty map.
+    Two names are linked if a feed renames one to the other, or if clearly more canonical_ids have equal values
+    under both than chance gives: ``agree`` has (ids with both, ids that agree, share that agrees by chance).
+    Links are taken best first, and never bring together names that stand side by side in a file (``apart``).
+    The house list's name is taken, else that of most files. Pairs are in name order.
     """
-    values = field_values(bags)
-    renames = (
-        changes(bags).filter("change = 'renamed'").groupBy("origin", "feed", "section")
-        .agg(F.array_sort(F.collect_list(F.struct("file_no", "old_field", "field"))).alias("renames"))
+    ranked = []
+    for a, b in sorted(set(agree) | renamed):
+        both, equal, chance = agree.get((a, b), (0, 0, 0.0))
+        sure = equal - both * chance >= _MORE + _SURE * (both * chance * (1 - chance)) ** 0.5
+        if sure or (a, b) in renamed:
+            ranked.append((-(equal / both - chance) / (1 - chance + 1e-9) if both else 0.0, -name_similarity(a, b), a, b))
+    groups = {n: {n} for n in {*names, *(n for pair in renamed for n in pair)}}
+    for _, _, a, b in sorted(ranked):
+        x, y = groups[a], groups[b]
+        if x is not y and not any((min(m, n), max(m, n)) in apart for m in x for n in y):
+            x |= y
+            for n in y:
+                groups[n] = x
+    best = lambda n: (not names.get(n, (False, 0))[0], -names.get(n, (False, 0))[1], n)
+    return {n: min(groups[n], key=best) for n in names}
+
+
+def _name_links(values: DataFrame, names: DataFrame, renames: DataFrame) -> DataFrame:
+    """_LINK rows over all feeds: the names, those side by side in a file, renames, and how far values agree.
+
+    Values are folded to the set of one canonical_id and name before names are paired, so pairs grow with ids
+    and names, not with feeds.
+    """
+    pair = lambda xs: F.flatten(F.transform(xs, lambda x: F.transform(F.filter(xs, lambda y: y["name"] > x["name"]), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("both", "bigint"), ("equal", "bigint"), ("chance", "double"))]
+    files = names.select(*FILE_KEY, "name").distinct()
+    own = files.groupBy("section", F.col("name").alias("a")).agg(F.count("*").alias("both"), F.count_if(F.col("origin") == "reference").alias("equal")).select("section", F.lit("name").alias("link"), "a", F.lit(None).cast("string").alias("b"), "both", "equal", none[2])
+    beside = (
+        files.groupBy(*FILE_KEY).agg(F.collect_list(F.struct("name")).alias("xs")).select("section", F.explode(pair(F.col("xs"))).alias("p"))
+        .select("section", F.lit("apart").alias("link"), F.col("p.x.name").alias("a"), F.col("p.y.name").alias("b"), *none).distinct()
+    )
+    moved = renames.select("section", F.lit("renamed").alias("link"), F.least("old_field", "field").alias("a"), F.greatest("old_field", "field").alias("b"), *none).distinct()
+    facts = (
+        values.filter("canonical_id is not null").join(names, [*FILE_KEY, "field"])
+        .groupBy("section", "canonical_id", "name").agg(F.collect_set(_bare(F.col("bare"))).alias("has"))
     )
-    names = (
-        values.select(*FILE_KEY, "field").distinct().join(renames, ["origin", "feed", "section"])
-        .select(*FILE_KEY, "field", F.expr("aggregate(renames, field, (acc, r) -> if(r.file_no > file_no and r.old_field = acc, r.field, acc))").alias("name"))
+    met = facts.groupBy("section", "canonical_id").agg(F.collect_list(F.struct("name", "has")).alias("xs")).select("section", F.explode(pair(F.col("xs"))).alias("p"))
+    agreed = met.groupBy("section", F.col("p.x.name").alias("a"), F.col("p.y.name").alias("b")).agg(F.count("*").alias("both"), F.count_if(F.arrays_overlap("p.x.has", "p.y.has")).alias("equal"))
+    ids = facts.groupBy("section", "name").agg(F.count("*").alias("ids"))
+    share = facts.select("section", "name", F.explode("has").alias("v")).groupBy("section", "name", "v").agg(F.count("*").alias("n")).join(ids, ["section", "name"]).select("section", "v", "name", (F.col("n") / F.col("ids")).alias("share"))
+    chance = (
+        share.groupBy("section", "v").agg(F.collect_list(F.struct("name", "share")).alias("xs")).select("section", F.explode(pair(F.col("xs"))).alias("p"))
+        .groupBy("section", F.col("p.x.name").alias("a"), F.col("p.y.name").alias("b"))
+        .agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("p.x.share") * F.col("p.y.share"), F.lit(1e-12)))))).alias("chance"))
     )
-    named = values.join(names, [*FILE_KEY, "field"], "left").withColumn("name", F.coalesce("name", "field"))
-    kinds = named.groupBy("origin", "section", "name").agg(F.collect_set("kind").alias("kinds"))
-    typed = named.join(kinds, ["origin", "section", "name"]).withColumn(
-        "text", F.when((F.col("kind") == "string"), F.get_json_object(F.concat(F.lit('{"v":'), F.col("value"), F.lit("}")), "$.v")).otherwise(F.col("value"))
+    agree = agreed.join(chance, ["section", "a", "b"], "left").select("section", F.lit("agree").alias("link"), "a", "b", "both", "equal", F.coalesce("chance", F.lit(0.0)).alias("chance"))
+    return own.unionByName(beside).unionByName(moved).unionByName(agree)
+
+
+def _section_names(part):
+    names, agree, renamed, apart = {}, {}, set(), set()
+    for link, a, b, both, equal, chance in part[["link", "a", "b", "both", "equal", "chance"]].itertuples(index=False, name=None):
+        if link == "name":
+            names[a] = (equal > 0, int(both))
+        elif link == "agree":
+            agree[(a, b)] = (int(both), int(equal), chance)
+        else:
+            (renamed if link == "renamed" else apart).add((a, b))
+    got = sorted(one_name(names, agree, renamed, apart).items())
+    return pd.DataFrame({"section": [part["section"].iloc[0]] * len(got), "name": [n for n, _ in got], "target": [t for _, t in got]})
+
+
+_NUMBER = r"^[+-]?(?:[0-9]+(?:\.[0-9]+)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
+_NUMBER_TEXT = _NUMBER + r"(?: +[^0-9\s]\S*)?$"
+_YES, _NO = ("true", "yes", "1"), ("false", "no", "0")
+
+
+def _number(text: Column) -> Column:
+    """Plain text of the number that ``text`` starts with."""
+    found = F.regexp_replace(F.regexp_extract(text, f"({_NUMBER})", 1), r"^\+", "")
+    plain = F.when(found.rlike("[eE]"), found.try_cast("double").cast("string")).otherwise(found)
+    return F.regexp_replace(F.regexp_replace(plain, r"^(-?\d*\.\d*?)0+$", "$1"), r"\.$", "")
+
+
+def _bare(text: Column) -> Column:
+    """A value without what differs between types: numbers without their suffix, yes and no as 1 and 0."""
+    return F.when(F.lower(text).isin("true", "yes"), "1").when(F.lower(text).isin("false", "no"), "0").when(text.rlike(_NUMBER_TEXT), _number(text)).otherwise(F.regexp_replace(text, r'[\[\]{}"\s]', ""))
+
+
+def _with_bare(values: DataFrame) -> DataFrame:
+    """``values`` with ``wrap`` (no, value, one, many, object) and ``bare``, the text inside a wrapper or quotes."""
+    wrap = (
+        F.when((F.col("kind") == "object") & (F.size("keys") == 1) & F.array_contains("keys", "value"), "value").when(F.col("kind") == "object", "object")
+        .when((F.col("kind") == "array") & (F.json_array_length("value") == 1), "one").when(F.col("kind") == "array", "many").otherwise("no")
+    )
+    boxed = F.concat(F.lit('{"v":'), F.col("value"), F.lit("}"))
+    return values.withColumn("wrap", wrap).withColumn(
+        "bare",
+        F.coalesce(F.when(F.col("wrap") == "value", F.get_json_object("value", "$.value")).when(F.col("wrap") == "one", F.get_json_object("value", "$[0]")).when(F.col("kind") == "string", F.get_json_object(boxed, "$.v")), F.col("value")),
     )
-    one = F.when(F.size("kinds") == 1, F.col("text")).when(F.array_contains("kinds", "number") & (F.size("kinds") == 2) & F.array_contains("kinds", "string"), F.coalesce(F.col("text").try_cast("double").cast("string"), F.col("text"))).otherwise(F.col("text"))
-    bag = typed.groupBy(*FILE_KEY, "entry").agg(F.collect_list(F.struct("name", one.alias("value"))).alias("pairs"))
-    keyed = bag.select(*FILE_KEY, "entry", F.expr("map_from_entries(transform(array_distinct(transform(pairs, p -> p.name)), n -> struct(n, filter(pairs, p -> p.name = n)[0].value)))").alias("properties"))
-    return bags.select(*FILE_KEY, "entry", "canonical_id").join(keyed, [*FILE_KEY, "entry"], "left").withColumn("properties", F.coalesce("properties", F.expr("cast(map() as map<string,string>)")))
+
+
+def _typed(named: DataFrame) -> DataFrame:
+    """``named`` with ``type`` of its section's name, ``text`` cast to it, and ``remark``, what the cast leaves off.
+
+    The type is the first of boolean, number, array and object that the field has as such somewhere and that all
+    its values allow, else text. A value in a wrapper ({"value": x} or a list of one) counts as x, text with a
+    number and one word (a unit) as that number, yes, no, 1 and 0 as booleans, listed text as an array.
+    """
+    bare, kind, wrap = F.col("bare"), F.col("kind"), F.col("wrap")
+    inner = F.try_parse_json("bare")
+    is_object = F.coalesce(F.schema_of_variant(inner).startswith("OBJECT"), F.lit(False))
+    is_array = F.coalesce(F.schema_of_variant(inner).startswith("ARRAY"), F.lit(False))
+    whole = lambda c: F.min(F.coalesce(c, F.lit(False)))
+    types = named.groupBy("section", "name").agg(
+        (F.max(kind == "boolean") & whole(F.lower(bare).isin(*_YES, *_NO))).alias("boolean"),
+        (F.max(kind == "number") & whole(bare.rlike(_NUMBER_TEXT))).alias("number"),
+        (F.max(wrap == "many") & whole(~is_object)).alias("array"),
+        (F.max(wrap == "object") & whole(is_object)).alias("object"),
+    ).select("section", "name", F.when(F.col("boolean"), "boolean").when(F.col("number"), "number").when(F.col("array"), "array").when(F.col("object"), "object").otherwise("text").alias("type"))
+    t = F.col("type")
+    items = F.filter(F.split(bare, r"\s*,\s*"), lambda x: x != "")
+    listed = F.when(is_array, bare).when((wrap == "one") | (kind == "array"), F.col("value")).when(kind == "string", F.to_json(items)).otherwise(F.to_json(F.array(bare)))
+    text = (
+        F.when(t == "boolean", F.when(F.lower(bare).isin(*_YES), "true").otherwise("false")).when(t == "number", _number(bare))
+        .when(t == "array", listed).when(t == "object", F.to_json(inner)).otherwise(bare)
+    )
+    remark = F.when(t == "number", F.nullif(F.trim(F.regexp_replace(bare, _NUMBER, "")), F.lit("")))
+    return named.join(types, ["section", "name"]).withColumns({"text": text, "remark": remark})
+
+
+def unified_rows(bags: DataFrame) -> DataFrame:
+    """All entries as one consistent table: FILE_KEY, entry, canonical_id, properties and remarks MAP<STRING,STRING>.
+
+    Each field first takes the name it has in the last file of its feed: the feed's renames, in file order, are
+    folded over the name it had. The names of all feeds and the house list are then matched by section
+    (``one_name``). No two fields of a file take one name: one whose new name stands in the file, or is taken
+    already, keeps its own. Values are cast to the one type of their field (``_typed``); units and notes that the
+    cast to a number leaves off are in ``remarks``. Entries without a readable bag keep a row with empty maps.
+    """
+    values = cut_lineage(_with_bare(field_values(bags)))
+    renamed = cut_lineage(changes(bags).filter("change = 'renamed'"))
+    renames = renamed.groupBy("origin", "feed", "section").agg(F.array_sort(F.collect_list(F.struct("file_no", "old_field", "field"))).alias("renames"))
+    folded = F.expr("coalesce(aggregate(renames, field, (acc, r) -> if(r.file_no > file_no and r.old_field = acc, r.field, acc)), field)")
+    fields = values.select(*FILE_KEY, "field").distinct().join(renames, ["origin", "feed", "section"], "left").select(*FILE_KEY, "field", folded.alias("name"))
+    fields = cut_lineage(_alone(fields))
+    links = _name_links(values, fields, renamed)
+    targets = links.groupBy("section").applyInPandas(_section_names, "section string, name string, target string")
+    final = _alone(fields.join(targets, ["section", "name"]).select(*FILE_KEY, "field", F.col("target").alias("name")))
+    typed = _typed(cut_lineage(values.join(final, [*FILE_KEY, "field"])))
+    bag = typed.groupBy(*FILE_KEY, "entry").agg(F.collect_list(F.struct("name", "text")).alias("pairs"), F.collect_list(F.when(F.col("remark").isNotNull(), F.struct("name", "remark"))).alias("notes"))
+    keyed = bag.select(*FILE_KEY, "entry", F.map_from_entries("pairs").alias("properties"), F.map_from_entries("notes").alias("remarks"))
+    none = F.expr("cast(map() as map<string,string>)")
+    return bags.select(*FILE_KEY, "entry", "canonical_id").join(keyed, [*FILE_KEY, "entry"], "left").withColumns({c: F.coalesce(c, none) for c in ("properties", "remarks")})
+
+
+def _alone(names: DataFrame) -> DataFrame:
+    """(FILE_KEY, field, name) where no two fields of a file have one name."""
+    same = F.filter("all", lambda x: (x["field"] == F.col("name")) | ((x["name"] == F.col("name")) & (x["field"] < F.col("field"))))
+    held = names.groupBy(*FILE_KEY).agg(F.collect_list(F.struct("field", "name")).alias("all"))
+    each = held.select(*FILE_KEY, "all", F.explode("all").alias("f")).select(*FILE_KEY, "all", "f.*")
+    return each.select(*FILE_KEY, "field", F.when((F.col("field") == F.col("name")) | (F.size(same) == 0), F.col("name")).otherwise(F.col("field")).alias("name"))

@@ -22,9 +22,9 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_table(spark: SparkSession, folder: str) -> DataFrame:
-    """All entries under consistent names; the bag as sorted name=value text, so that it can be compared."""
+    """All entries of all feeds and the house list under one name and type for each field of a section."""
     rows = schema_drift.unified_rows(_bags(spark, folder))
-    return rows.select(*schema_drift.FILE_KEY, "entry", "canonical_id", "properties")
+    return rows.select(*schema_drift.FILE_KEY, "entry", "canonical_id", "properties", "remarks")
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:

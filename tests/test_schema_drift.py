@@ -95,3 +95,29 @@ def test_flooding_prefers_the_better_neighbourhood():
     assert {(o, n) for o, n, _ in S.correspondences(old, new, {})} == {("density_kg", "rho_kg"), ("process_family", "process_group")}
     # values that contradict rule a pair out, agreeing ones decide
     assert [(o, n) for o, n, _ in S.correspondences(old, new, {("density_kg", "rho_kg"): (5, 4), ("process_family", "process_group"): (3, 3), ("density_kg", "process_group"): (2, 0), ("process_family", "rho_kg"): (2, 0)})] == [("process_family", "process_group")]
+
+
+def test_feeds_share_one_name_and_type(spark):
+    rows = []
+    for e in range(30):
+        rho, flag, soft = 1000 + 7 * e, e % 2 == 0, f"v{e}"
+        bags = {
+            ("f", 1): {"density": rho, "ok": flag, "sw": soft}, ("f", 2): {"dens": rho, "ok": flag, "sw": soft},
+            ("g", 1): {"rho": f"{rho} kg/m3" if e % 3 else str(rho), "okay": int(flag), "software": {"value": soft}},
+            ("h", 1): {"dens": {"value": rho}, "software": [soft], "forms": "bar, tube" if e else ["bar", "tube"], "share": 1 + e % 2},
+        }
+        rows += [(len(rows) + k, feed, no, "m", f"id{e}", json.dumps(bag), "") for k, ((feed, no), bag) in enumerate(bags.items())]
+    got = S.unified_rows(S.pack_bags(spark.createDataFrame(rows, SCHEMA))).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        e = int(r.canonical_id[2:])
+        assert r.properties["dens"] == str(1000 + 7 * e) and r.properties["software"] == f"v{e}"
+        assert r.remarks == ({"dens": "kg/m3"} if r.feed == "g" and e % 3 else {})
+        assert r.feed != "h" or r.properties["forms"] == '["bar","tube"]'
+
+
+def test_names_side_by_side_stay_apart():
+    names = {"a": (False, 3), "b": (False, 2), "c": (True, 1)}
+    agree = {("a", "b"): (50, 50, 0.1), ("b", "c"): (50, 40, 0.1), ("a", "c"): (50, 6, 0.1)}
+    assert S.one_name(names, agree, set(), {("a", "b")}) == {"a": "a", "b": "c", "c": "c"}
+    assert S.one_name(names, {}, {("a", "b"), ("b", "c")}, set()) == {"a": "c", "b": "c", "c": "c"}
