@@ -65,16 +65,56 @@ def tagged_children(experiments: DataFrame) -> DataFrame:
     )
 
 
+#: Tag, its array in a record, and the name of its own key.
+_RECORDS = (("observation", "observations", "obs_no"), ("finding", "findings", "finding_no"), ("text_unit", "text_units", "unit_no"))
+
+
+def tagged_records(experiments: DataFrame) -> DataFrame:
+    """All children of ``experiments`` whole: (record, exp_row, child_no, linked_no, listed, observation, finding, text_unit).
+
+    The column named like the tag holds the child with all its fields, the others are null. Every element that
+    is not null gives a row; ``listed`` is false for observations without a property name, text units without
+    content, and links to such observations. Links are those of ``tagged_children``, to unlisted observations too.
+    """
+    types = {f.name: f.dataType for f in experiments.schema.fields}
+    arrays = {tag: _none(F.col(c), types[c].simpleString()) for tag, c, _ in _RECORDS}
+
+    def row(record: str, child: Column, linked: Column, listed: Column, payload: Column | None = None) -> Column:
+        own = [(payload if tag == record else F.lit(None)).cast(types[c].elementType).alias(tag) for tag, c, _ in _RECORDS]
+        return F.struct(F.lit(record).alias("record"), child.cast("int").alias("child_no"), linked.cast("int").alias("linked_no"), F.coalesce(listed, F.lit(False)).alias("listed"), *own)
+
+    obs, n = arrays["observation"], F.size(arrays["observation"])
+    alone = F.lit(-1)
+    observation = F.transform(obs, lambda o, i: F.when(o.isNotNull(), row("observation", i, alone, _said(o["property_name"]), o)))
+    finding = F.transform(arrays["finding"], lambda f, i: F.when(f.isNotNull(), row("finding", i, alone, F.lit(True), f)))
+    text_unit = F.transform(arrays["text_unit"], lambda t, i: F.when(t.isNotNull(), row("text_unit", i, alone, _said(t["content"]), t)))
+
+    def links(f: Column, i: Column) -> Column:
+        place = F.array_distinct(F.transform(_none(f["observation_indices"], _EMPTY_INTS), lambda x: F.when(x < 0, x + n).otherwise(x)))
+        held = F.filter(place, lambda x: x.isNotNull() & (x >= 0) & (x < n) & F.get(obs, x).isNotNull())
+        return F.transform(held, lambda x: row("finding_observation", i, x, _said(F.get(obs, x)["property_name"])))
+
+    visit = F.concat(observation, finding, text_unit, F.flatten(F.transform(arrays["finding"], links)))
+    rows = experiments.select("exp_row", F.explode(visit).alias("row")).filter(F.col("row").isNotNull())
+    return rows.select("row.record", "exp_row", *(f"row.{c}" for c in ("child_no", "linked_no", "listed", "observation", "finding", "text_unit")))
+
+
+def record_tables(tagged: DataFrame) -> dict[str, DataFrame]:
+    """The rows of ``tagged_records`` by tag, each under its own schema: keys, the parent key ``exp_row``, all fields."""
+    of = lambda record: tagged.filter(F.col("record") == record)
+    out = {tag: of(tag).select("exp_row", F.col("child_no").alias(key), "listed", f"{tag}.*") for tag, _, key in _RECORDS}
+    out["finding"] = out["finding"].drop("listed")
+    return out | {"finding_observation": of("finding_observation").select("exp_row", F.col("child_no").alias("finding_no"), F.col("linked_no").alias("obs_no"), "listed")}
+
+
 def flat_tables(experiments: DataFrame) -> dict[str, DataFrame]:
-    """The tagged rows by tag, each with its own key columns and the parent key ``exp_row``."""
-    rows = tagged_children(experiments)
-    return {
-        "observation": rows.filter(F.col("record") == "observation").select("exp_row", F.col("child_no").alias("obs_no"), F.col("text").alias("property_name"), "value"),
-        "text_unit": rows.filter(F.col("record") == "text_unit").select("exp_row", F.col("child_no").alias("unit_no"), F.col("text").alias("content")),
-        "finding_observation": rows.filter(F.col("record") == "finding_observation").select("exp_row", F.col("child_no").alias("finding_no"), F.col("linked_no").alias("obs_no")),
-    }
-
-
-def write_flat_tables(experiments: DataFrame, root: str) -> None:
-    """Write all tagged rows in one pass, partitioned by tag."""
-    tagged_children(experiments).write.mode("overwrite").partitionBy("record").parquet(root)
+    """The listed rows of the ``record_tables`` that ``tagged_children`` counts; findings themselves are in ``record_tables``."""
+    tables = record_tables(tagged_records(experiments))
+    return {k: t.filter("listed").drop("listed") for k, t in tables.items() if k != "finding"}
+
+
+def write_flat_tables(experiments: DataFrame, root: str) -> dict[str, DataFrame]:
+    """Write all tagged rows in one pass, partitioned by tag, and give the ``record_tables`` read from there."""
+    tagged = tagged_records(experiments)
+    tagged.write.mode("overwrite").partitionBy("record").parquet(root)
+    return record_tables(experiments.sparkSession.read.schema(tagged.schema).parquet(root))

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeworks.operators import bad_rows, nested, packed_values, schema_drift, units
+from lodeworks.session import shared_dir
 from lodeworks.sources.tables import house_list, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,9 +66,10 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_linked(spark: SparkSession, folder: str) -> DataFrame:
     """How many observations each finding points to and their mean value, from the flat tables joined again."""
-    flat = nested.flat_tables(table(spark, folder, "experiments"))
+    root = f"{shared_dir(spark).rstrip('/')}/experiment-records-{uuid4().hex}"
+    flat = nested.write_flat_tables(table(spark, folder, "experiments"), root)
     return (
-        flat["finding_observation"].join(flat["observation"], ["exp_row", "obs_no"])
+        flat["finding_observation"].filter("listed").drop("listed").join(flat["observation"], ["exp_row", "obs_no"])
         .groupBy("exp_row", "finding_no").agg(F.count("*").alias("n"), F.count("value").alias("n_values"))
     )
 

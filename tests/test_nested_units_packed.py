@@ -94,3 +94,24 @@ def test_split_fields_numbers_over_the_whole_field(spark):
     assert got == [(1, 1, 0, "HALR110"), (1, 2, 3, "Dorsk 7"), (1, 3, 3, "Brubin F/S 60"), (3, 1, 0, "HALR110")]
     assert {r.row_id for r in packed_values.split_fields(df, NAMES, True).collect()} == {1}
     assert packed_values.split_fields(df.limit(0), NAMES).count() == 0
+
+
+def test_flat_tables_keep_whole_records(spark, tmp_path):
+    schema = (
+        "exp_row bigint, observations array<struct<property_name:string,value:double,unit:string,confidence:double,metadata:map<string,string>>>,"
+        "findings array<struct<finding_id:bigint,summary:string,decision:string,observation_indices:array<int>,metadata:map<string,string>>>,"
+        "text_units array<struct<content:string,metadata:map<string,string>>>"
+    )
+    rows = [
+        (1, [("p", 1.0, "MPa", 0.5, {"a": "1"}), None, (" ", 2.0, "K", None, None)], [(7, "s", "keep", [0, -1, 1, 9], {"b": "2"}), None, (8, None, None, None, None)], [("t", {"c": "3"}), ("", {"d": "4"}), None]),
+        (2, None, [(9, "no links", None, [0], None)], None),
+    ]
+    df = spark.createDataFrame(rows, schema)
+    got = {k: sorted((tuple(r) for r in t.collect()), key=lambda r: r[:3]) for k, t in nested.write_flat_tables(df, str(tmp_path / "flat")).items()}
+    assert got == {
+        "observation": [(1, 0, True, "p", 1.0, "MPa", 0.5, {"a": "1"}), (1, 2, False, " ", 2.0, "K", None, None)],
+        "finding": [(1, 0, 7, "s", "keep", [0, -1, 1, 9], {"b": "2"}), (1, 2, 8, None, None, None, None), (2, 0, 9, "no links", None, [0], None)],
+        "text_unit": [(1, 0, True, "t", {"c": "3"}), (1, 1, False, "", {"d": "4"})],
+        "finding_observation": [(1, 0, 0, True), (1, 0, 2, False)],
+    }
+    assert all(t.count() == 0 for t in nested.write_flat_tables(df.limit(0), str(tmp_path / "none")).values())
