@@ -98,7 +98,8 @@ def packed(documents: DataFrame, capacity: int = CAPACITY, shard_texts: int = SH
         items = []
         for doc, source, cluster, size in zip(part["doc_id"].tolist(), part["source"].tolist(), part["cluster"].tolist(), part["n_tokens"].tolist(), strict=True):
             for n, own in enumerate(pieces_of(size, capacity)):
-                items.append((doc, n, own, cluster if size <= capacity else None, source if isinstance(source, str) else None))
+                # a full piece is alone anyway; it is no member, so that long texts do not make a cluster hot
+                items.append((doc, n, own, cluster if own < capacity else None, source if isinstance(source, str) else None))
         rows = [(base + c, doc, piece, size) for c, doc, piece, size in best_fit(items, capacity)]
         return pd.DataFrame(rows, columns=["container", "doc_id", "piece", "n_tokens"]).astype({"container": "int64", "doc_id": "int64", "piece": "int32", "n_tokens": "int32"})
 

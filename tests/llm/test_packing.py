@@ -75,3 +75,12 @@ def test_over_a_table_with_nulls_empties_and_ties(spark):
     assert P.packed(df.limit(0)).count() == 0
     report = P.fill_report(P.packed(df)).first()
     assert report.fullest <= P.CAPACITY and report.fill > 0.8
+
+
+def test_redelivered_long_texts_do_not_share_a_container(spark):
+    long = "long " * 5000
+    rows = [(1, "D", "s", long), (2, "D", "t", long), (3, "E", "s", long + "end"), (4, "E", "t", "short copy")]
+    out = P.packed(spark.createDataFrame(rows, "doc_id bigint, document_id string, source string, text string")).collect()
+    held = {i: {r.container for r in out if r.doc_id == i} for i in (1, 2, 3, 4)}
+    assert not held[1] & held[2] and not held[3] & held[4]
+    assert all(len(h) > 1 for i, h in held.items() if i != 4)
