@@ -34,7 +34,8 @@ def best_fit(items: list[tuple[int, int, int, object, object]], capacity: int =
     Two items of one cluster never share a container, with one exception: a cluster with more members than
     half of the containers that the shard needs at least is not kept apart, as that would leave most of
     its containers empty. Among equally tight compatible containers one without the item's source is
-    preferred. A null cluster or source conflicts with nothing. Items larger than the capacity are an error.
+    preferred; the open containers of a rest are kept by their source bitmap, so one is found wherever it is.
+    A null cluster or source conflicts with nothing. Items larger than the capacity are an error.
     """
     least = -(-sum(i[2] for i in items) // capacity)
     members: dict[object, int] = defaultdict(int)
@@ -42,7 +43,7 @@ def best_fit(items: list[tuple[int, int, int, object, object]], capacity: int =
         members[i[3]] += 1
     apart = {c: k for k, c in enumerate(sorted((c for c, n in members.items() if c is not None and 1 < n <= max(2, least // 2)), key=str))}
     sources = {s: k for k, s in enumerate(sorted({i[4] for i in items if i[4] is not None}, key=str))}
-    open_by_rest: list[list[int]] = [[] for _ in range(capacity + 1)]
+    open_by_rest: list[dict[int, list[int]]] = [{} for _ in range(capacity + 1)]  # by source bitmap
     rests, clusters_in, sources_in = 0, [], []  # rests: bit r is set where a container with r tokens left is open
     out = []
     for doc, piece, size, cluster, source in sorted(items, key=lambda i: (-i[2], i[0], i[1])):
@@ -54,9 +55,12 @@ def best_fit(items: list[tuple[int, int, int, object, object]], capacity: int =
         while ahead:
             step = (ahead & -ahead).bit_length() - 1
             rest, ahead = rest + step, ahead >> step
-            fits = [b for b in open_by_rest[rest][-64:] if not clusters_in[b] & own] or [b for b in open_by_rest[rest] if not clusters_in[b] & own]
-            if fits:
-                chosen = next((b for b in fits if not sources_in[b] & where), fits[0])
+            by_source = open_by_rest[rest]
+            for held in sorted(by_source, key=lambda m: m & where > 0):
+                chosen = next((b for b in reversed(by_source[held]) if not clusters_in[b] & own), None)
+                if chosen is not None:
+                    break
+            if chosen is not None:
                 break
             rest, ahead = rest + 1, ahead >> 1
         if chosen is None:
@@ -64,13 +68,15 @@ def best_fit(items: list[tuple[int, int, int, object, object]], capacity: int =
             clusters_in.append(0)
             sources_in.append(0)
         else:
-            open_by_rest[rest].remove(chosen)
-            if not open_by_rest[rest]:
+            by_source[held].remove(chosen)
+            if not by_source[held]:
+                del by_source[held]
+            if not by_source:
                 rests &= ~(1 << rest)
         clusters_in[chosen] |= own
         sources_in[chosen] |= where
         if rest > size:
-            open_by_rest[rest - size].append(chosen)
+            open_by_rest[rest - size].setdefault(sources_in[chosen], []).append(chosen)
             rests |= 1 << (rest - size)
         out.append((chosen, doc, piece, size))
     return out

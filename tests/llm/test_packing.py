@@ -84,3 +84,9 @@ def test_redelivered_long_texts_do_not_share_a_container(spark):
     held = {i: {r.container for r in out if r.doc_id == i} for i in (1, 2, 3, 4)}
     assert not held[1] & held[2] and not held[3] & held[4]
     assert all(len(h) > 1 for i, h in held.items() if i != 4)
+
+
+def test_source_is_preferred_apart_among_many_equals():
+    items = [(i, 0, 60, None, "y" if i == 0 else "x") for i in range(101)] + [(200, 0, 40, None, "x"), (201, 0, 40, None, "y")]
+    where = {d: c for c, d, _, _ in P.best_fit(items, 100)}
+    assert where[200] == where[0] and where[201] != where[0]
