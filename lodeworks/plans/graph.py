@@ -495,6 +495,13 @@ def embedding_topk(spark, folder):
     return search.nearest_vectors(vectors, list(first.embedding) if first else [], 10).select("vec_id", _r("score", 4).alias("score"))
 
 
+@registered("""with q as (select vec_id as query_id, embedding::double[] as v from embeddings where vec_id % 100 = 0) select query_id, vec_id, round(s, 4) as score from (select query_id, vec_id, list_cosine_similarity(embedding::double[], v) as s from embeddings, q)
+qualify row_number() over (partition by query_id order by round(s, 12) desc, vec_id) <= 10""")
+def embedding_topk_set(spark, folder):
+    vectors = table(spark, folder, "embeddings")
+    return search.nearest_to_each(vectors.filter("vec_id % 100 = 0"), vectors, 10).select("query_id", "vec_id", _r("score", 4).alias("score"))
+
+
 # events
 
 
