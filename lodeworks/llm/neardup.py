@@ -372,23 +372,26 @@ def finding_pairs(*tables: DataFrame, num: int = NUM, den: int = DEN) -> DataFra
     return out.select(F.least("a_id", "b_id").alias("finding_a"), F.greatest("a_id", "b_id").alias("finding_b")).filter("finding_a <> finding_b").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """(node, group): connected components of ``edges`` (a, b), named by their smallest node.
 
-    Each round a node takes the smallest label of its neighbours and then the label of its label; rounds end
-    when no label changes. Every round is written to the shared folder; nothing is collected but a count.
+    Each round a node, and the node that its label names, take the smallest label of the labels of its neighbours,
+    so whole regions are hooked at once and rounds grow with the logarithm of the size. Rounds end when no
+    label changes; if ``rounds`` do not suffice, that is an error. Every round is written to the shared folder.
     """
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("group")), "labels")
     for _ in range(rounds):
-        seen = both.join(labels.select(F.col("node").alias("b"), "group"), "b").groupBy("a").agg(F.min("group").alias("near"))
-        lower = labels.join(seen, labels["node"] == seen["a"]).select("node", F.col("group").alias("old"), F.least("group", "near").alias("mid"))
-        jump = labels.select(F.col("node").alias("mid"), F.col("group").alias("far"))
-        after = written(lower.join(jump, "mid", "left").select("node", "old", F.least("mid", F.coalesce("far", "mid")).alias("group")), "labels")
+        jump = labels.select(F.col("node").alias("group"), F.col("group").alias("far"))
+        far = labels.join(jump, "group").select("node", F.col("group").alias("old"), "far")
+        seen = both.join(far.select(F.col("node").alias("b"), "far"), "b").groupBy("a").agg(F.min("far").alias("near"))
+        lower = far.join(seen, far["node"] == seen["a"]).select("node", "old", "far", "near")
+        hooks = lower.groupBy(F.col("old").alias("node")).agg(F.min("near").alias("hook"))
+        after = written(lower.join(hooks, "node", "left").select("node", "old", F.least("far", "near", "hook").alias("group")), "labels")
         labels = after.select("node", "group")
         if not after.filter("group <> old").limit(1).count():
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"connected components did not settle in {rounds} rounds")
 
 
 def finding_groups(*tables: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -116,3 +117,10 @@ def test_tree_equals_flat_comparison():
 def test_words_ignore_case_and_marks(spark):
     df = spark.createDataFrame([("Größe_größe 12µm, É-é",)], "t string")
     assert df.select(N.words(F.col("t"))).first()[0] == ["größe", "12µm", "é"]
+
+
+def test_components_of_a_chain_with_a_far_smaller_label(spark):
+    edges = spark.createDataFrame([(0, 150)] + [(i, i + 1) for i in range(1, 150)], "a bigint, b bigint")
+    assert {(r.node, r.group) for r in N.components(edges, rounds=20).collect()} == {(i, 0) for i in range(151)}
+    with pytest.raises(RuntimeError):
+        N.components(edges, rounds=1)
