@@ -55,16 +55,18 @@ def set_key(text: Column) -> Column:
 
 
 def classes(records: DataFrame) -> DataFrame:
-    """(rid, last, text, w): one row for each distinct word set, with the smallest and largest id that has it."""
-    one = records.groupBy(set_key(F.col("text")).alias("key")).agg(F.min("id").alias("rid"), F.max("id").alias("last"), F.min("text").alias("text"))
-    return one.select("rid", "last", "text", word_hashes(F.col("text")).alias("w"))
+    """(rid, key, first, last, text, w): one row for each distinct word set, with the smallest and largest id that has it.
+
+    ``rid`` is a number of the row, unique as one id may have several word sets. It holds once the table is written.
+    """
+    one = records.groupBy(set_key(F.col("text")).alias("key")).agg(F.min("id").alias("first"), F.max("id").alias("last"), F.min("text").alias("text"))
+    return one.select(F.monotonically_increasing_id().alias("rid"), "key", "first", "last", "text", word_hashes(F.col("text")).alias("w"))
 
 
-def class_members(records: DataFrame) -> DataFrame:
-    """(rid, id) of the ids whose word set has another id too, the representative included."""
+def class_members(records: DataFrame, sets: DataFrame) -> DataFrame:
+    """(rid, id) of the written classes ``sets`` that have more than one id."""
     keyed = records.select("id", set_key(F.col("text")).alias("key"))
-    several = keyed.groupBy("key").agg(F.min("id").alias("rid"), F.max("id").alias("last")).filter("rid <> last").select("key", "rid")
-    return keyed.join(several, "key").select("rid", "id").distinct()
+    return keyed.join(sets.filter("first <> last").select("key", "rid"), "key").select("rid", "id").distinct()
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -329,17 +331,17 @@ def candidate_pairs(records: DataFrame, num: int = NUM, den: int = DEN) -> DataF
 
 
 def similar_pairs(records: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
-    """(a, b, last_a, last_b) of the ``records`` (rid, last, text, w) whose words agree, verified on the words.
+    """(a, b, first_a, last_a, first_b, last_b) of the ``records`` (rid, first, last, text, w) whose words agree, verified on the words.
 
     Each side of a candidate fetches its text by one join; the two sides then meet by the pair.
     """
     found = candidate_pairs(records.select("rid", "w"), num, den)
-    sides = found.select("a", "b", F.explode(F.array("a", "b")).alias("rid")).join(records.select("rid", "last", "text"), "rid")
-    own = F.struct("rid", "last", "text")
+    sides = found.select("a", "b", F.explode(F.array("a", "b")).alias("rid")).join(records.select("rid", "first", "last", "text"), "rid")
+    own = F.struct("rid", "first", "last", "text")
     both = sides.groupBy("a", "b").agg(F.min(own).alias("x"), F.max(own).alias("y")).filter("x.rid < y.rid")
     wa, wb = words(F.col("x.text")), words(F.col("y.text"))
     agree = F.size(F.array_intersect(wa, wb)) * (den + num) >= num * (F.size(wa) + F.size(wb))
-    return both.filter(agree).select("a", "b", F.col("x.last").alias("last_a"), F.col("y.last").alias("last_b"))
+    return both.filter(agree).select("a", "b", *(F.col(f"{x}.{c}").alias(f"{c}_{side}") for x, side in (("x", "a"), ("y", "b")) for c in ("first", "last")))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -360,12 +362,12 @@ def finding_pairs(*tables: DataFrame, num: int = NUM, den: int = DEN) -> DataFra
     records = findings(*tables)
     sets = written(classes(records), "finding-classes")
     pairs = similar_pairs(sets, num, den)
-    members = class_members(records)
+    members = class_members(records, sets)
     of = lambda side: members.select(F.col("rid").alias(side), F.col("id").alias(f"{side}_id"))
-    single = pairs.filter("a = last_a and b = last_b").select(F.col("a").alias("a_id"), F.col("b").alias("b_id"))
+    single = pairs.filter("first_a = last_a and first_b = last_b").select(F.col("first_a").alias("a_id"), F.col("first_b").alias("b_id"))
     several = (
-        pairs.filter("a <> last_a or b <> last_b").join(of("a"), "a", "left").join(of("b"), "b", "left")
-        .select(F.coalesce("a_id", "a").alias("a_id"), F.coalesce("b_id", "b").alias("b_id"))
+        pairs.filter("first_a <> last_a or first_b <> last_b").join(of("a"), "a", "left").join(of("b"), "b", "left")
+        .select(F.coalesce("a_id", "first_a").alias("a_id"), F.coalesce("b_id", "first_b").alias("b_id"))
     )
     within = members.join(members.select("rid", F.col("id").alias("other")), "rid").filter("id < other").select(F.col("id").alias("a_id"), F.col("other").alias("b_id"))
     out = single.unionByName(several).unionByName(within)
@@ -397,16 +399,23 @@ def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
 def finding_groups(*tables: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """(finding_id, class_id, links, group_id), one row for each finding_id with a word.
 
-    ``class_id`` is the smallest finding_id with the same word set, ``links`` the number of other word sets
-    that agree with it, ``group_id`` the smallest class_id of its connected component. Copies are not
-    expanded into pairs.
+    A finding_id whose deliveries differ stands in the class of its smallest text, and binds the classes of its
+    other texts to its group. ``class_id`` is the smallest finding_id that stands in the class, ``links`` the number
+    of other word sets that agree with it, ``group_id`` the smallest class_id of its connected component.
+    Copies are not expanded into pairs.
     """
     records = findings(*tables)
     sets = written(classes(records), "finding-classes")
     pairs = written(similar_pairs(sets, num, den).select("a", "b"), "finding-pairs")
     links = pairs.select(F.explode(F.array("a", "b")).alias("rid")).groupBy("rid").agg(F.count("*").alias("links"))
-    keyed = records.groupBy("id").agg(F.min("text").alias("text")).select("id", set_key(F.col("text")).alias("key"))
-    named = sets.select(set_key(F.col("text")).alias("key"), "rid").join(links, "rid", "left").join(components(pairs).withColumnRenamed("node", "rid"), "rid", "left")
-    return keyed.join(named, "key").select(
-        F.col("id").alias("finding_id"), F.col("rid").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("group", "rid").alias("group_id")
-    )
+    keys = sets.select("key", "rid")
+    of_id = records.groupBy("id").agg(F.min("text").alias("text"), F.collect_set(set_key(F.col("text"))).alias("keys"))
+    edited = of_id.filter(F.size("keys") > 1).select("id", F.explode("keys").alias("key")).join(keys, "key")
+    bound = edited.join(edited.groupBy("id").agg(F.min("rid").alias("a")), "id").filter("a <> rid").select("a", F.col("rid").alias("b"))
+    standing = of_id.select("id", set_key(F.col("text")).alias("key")).join(keys, "key")
+    named = (
+        standing.groupBy("rid").agg(F.min("id").alias("class_id")).join(links, "rid", "left")
+        .join(components(pairs.unionByName(bound)).withColumnRenamed("node", "rid"), "rid", "left").withColumn("group", F.coalesce("group", "rid"))
+    )
+    groups = named.groupBy("group").agg(F.min("class_id").alias("group_id"))
+    return standing.join(named.join(groups, "group"), "rid").select(F.col("id").alias("finding_id"), "class_id", F.coalesce("links", F.lit(0)).alias("links"), "group_id")

@@ -124,3 +124,12 @@ def test_components_of_a_chain_with_a_far_smaller_label(spark):
     assert {(r.node, r.group) for r in N.components(edges, rounds=20).collect()} == {(i, 0) for i in range(151)}
     with pytest.raises(RuntimeError):
         N.components(edges, rounds=1)
+
+
+def test_one_id_with_two_texts_counts_with_each(spark):
+    one, two = "a b c d e f g h i j", "k l m n o p q r s t"
+    texts = [(1, one), (1, two), (2, one), (3, two), (4, one + " x"), (5, two + " y"), (6, "quite other words")]
+    got = {tuple(r) for r in N.finding_pairs(frame(spark, texts)).collect()}
+    assert got == brute(texts) == {(1, 2), (1, 3), (1, 4), (1, 5), (2, 4), (3, 5)}
+    rows = {r.finding_id: (r.class_id, r.links, r.group_id) for r in N.finding_groups(frame(spark, texts)).collect()}
+    assert rows == {1: (1, 1, 1), 2: (1, 1, 1), 3: (3, 1, 1), 4: (4, 1, 1), 5: (5, 1, 1), 6: (6, 0, 6)}
