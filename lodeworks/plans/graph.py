@@ -122,6 +122,14 @@ def float_text(spark, folder):
     return obs.select("exp_row", "obs_no", python_float(F.col("o.value")).alias("text"))
 
 
+
+@registered()
+def float_text_all(spark, folder):
+    """Texts of all values; no SQL, as DuckDB writes zero, tiny and huge ones in another form."""
+    obs = table(spark, folder, "experiments").select("exp_row", F.posexplode("observations").alias("obs_no", "o")).filter("o.value is not null")
+    return obs.select("exp_row", "obs_no", python_float(F.col("o.value")).alias("text"))
+
+
 def _listed_entities(spark: SparkSession, folder: str) -> DataFrame:
     rows = house_list(spark, folder).filter(F.col("section").isin("materials", "properties", "modes", "equipment", "teams"))
     kind = F.when(F.col("section") == "equipment", "equipment").otherwise(F.regexp_replace(F.regexp_replace("section", "ies$", "y"), "s$", ""))

@@ -40,3 +40,13 @@ def test_bags(spark):
     assert df.select(X.merge_maps(F.col("l"), F.col("r"))).first()[0] == {"a": "1", "b": "3", "c": None}
     assert one(spark, '{"k": [1, 2]}', "string", X.to_map) == {"k": "[1,2]"} and one(spark, "no", "string", X.to_map) == {} and one(spark, None, "string", X.to_map) == {}
     assert one(spark, None, "double", X.clamp) is None and one(spark, 3.0, "double", X.clamp) == 1.0
+
+
+def test_float_text_of_all_values(spark, tmp_path):
+    from lodeworks.plans.graph import QUERIES
+
+    values = [0.0, -0.0, -1.5, -2.5e-4, 5e-4, 1e-5, 1.25e-7, 12345678.9, 1e7, -1e22, 1.7976931348623157e308, 2.2250738585072014e-308, float("inf"), float("-inf"), float("nan"), 3.5, None]
+    rows = [(1, [(v,) for v in values]), (2, None), (3, [None])]
+    spark.createDataFrame(rows, "exp_row bigint, observations array<struct<value:double>>").write.parquet(str(tmp_path / "experiments.parquet"))
+    got = {(r.exp_row, r.obs_no): r.text for r in QUERIES["float_text_all"](spark, str(tmp_path)).collect()}
+    assert got == {(1, k): str(v) for k, v in enumerate(values) if v is not None}
