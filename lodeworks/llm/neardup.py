@@ -3,36 +3,42 @@
 Words are ordered from rare to frequent. Two sets that agree enough share a word among the first few of each
 (the prefix), and their next shared words follow within what slack is left. A record is therefore filed under
 its prefix words; where a word is shared by too many records, under its pairs with the next words instead,
-then triples, and so on: a tree of signatures whose nodes are split where the data is dense. Records filed
-under one signature are joined by a signature tree: its nodes hold OR- and AND-combined word bitmaps and size
-ranges, two nodes are compared at a time, and a pair of nodes is dropped where the largest possible overlap
-of its records is too small. What remains is verified on the words themselves.
+then triples, and so on: the upper levels of a signature tree, whose nodes are split where the data is dense.
+Below them the records of one signature form a tree whose nodes hold OR- and AND-combined word bitmaps, size
+ranges and the most words a record can still share; pairs of nodes are traversed from the roots down to the
+records, and a pair is dropped where the largest possible overlap of its records is too small. No pair is
+compared outside of that traversal. What remains is verified on the words themselves.
 """
 
 from __future__ import annotations
 
+import atexit
 from collections.abc import Iterator
 from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeworks.session import TooLarge, bounded_rows, shared_dir
+from lodeworks.session import shared_dir
 
 #: Least similarity as a fraction: 7 / 10.
 NUM, DEN = 7, 10
 #: A word is frequent above this share of the records, a deeper signature dense above the other; both within bounds.
 WORD_SHARE, NODE_SHARE, LEAST_DENSE, MOST_WORD, MOST_NODE = 50, 100, 64, 20_000, 4_000
-#: Bound of the set of dense signatures of one level that is sent to the tasks; beyond it the share is halved.
-MAX_DENSE = 2_000_000
-#: Levels of the signature tree above which signatures stay as they are.
+#: Bound of the dense signatures of one level that come to the driver; beyond it the share is halved. They are sent to
+#: the tasks as a filter of at most so many bits.
+MAX_DENSE, MAX_FILTER_BITS = 1_000_000, 1 << 26
+#: The last level of signatures.
 MAX_LEVELS = 8
-#: Records in a leaf, children of a node, and the group size up to which no tree is built.
-LEAF, FANOUT, SMALL = 128, 8, 16
+#: Children of a node, and pairs of nodes that are taken at once.
+FANOUT, FRONTIER = 8, 20_000
+#: Ids of one class that stand under one key where they are paired.
+BLOCK = 2_000
 
 _SALT = np.uint64(0x9E3779B97F4A7C15)
+_FILED = ["sig", "rid", "size", "cap", "b0", "b1"]
 
 
 def words(text: Column) -> Column:
@@ -54,19 +60,23 @@ def set_key(text: Column) -> Column:
     return F.unhex(F.md5(F.array_join(F.array_sort(words(text)), " ")))
 
 
-def classes(records: DataFrame) -> DataFrame:
+def keyed(records: DataFrame) -> DataFrame:
+    """(id, key, text): the ``records`` (id, text) with the key of their word set."""
+    return records.select("id", set_key(F.col("text")).alias("key"), "text")
+
+
+def classes(keyed: DataFrame) -> DataFrame:
     """(rid, key, first, last, text, w): one row for each distinct word set, with the smallest and largest id that has it.
 
     ``rid`` is a number of the row, unique as one id may have several word sets. It holds once the table is written.
     """
-    one = records.groupBy(set_key(F.col("text")).alias("key")).agg(F.min("id").alias("first"), F.max("id").alias("last"), F.min("text").alias("text"))
+    one = keyed.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.min("text").alias("text"))
     return one.select(F.monotonically_increasing_id().alias("rid"), "key", "first", "last", "text", word_hashes(F.col("text")).alias("w"))
 
 
-def class_members(records: DataFrame, sets: DataFrame) -> DataFrame:
+def class_members(keyed: DataFrame, sets: DataFrame) -> DataFrame:
     """(rid, id) of the written classes ``sets`` that have more than one id."""
-    keyed = records.select("id", set_key(F.col("text")).alias("key"))
-    return keyed.join(sets.filter("first <> last").select("key", "rid"), "key").select("rid", "id").distinct()
+    return keyed.select("id", "key").join(sets.filter("first <> last").select("key", "rid"), "key").select("rid", "id").distinct()
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -75,12 +85,6 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _among(x: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
-    if not len(sorted_set):
-        return np.zeros(len(x), dtype=bool)
-    return sorted_set[np.minimum(np.searchsorted(sorted_set, x), len(sorted_set) - 1)] == x
-
-
 class Ordered:
     """Word hashes of a batch of records, each record's from rare to frequent.
 
@@ -109,15 +113,18 @@ class Ordered:
         halves = [np.where(high, np.uint64(0), one), np.where(high, one, np.uint64(0))]
         return np.column_stack([np.bitwise_or.reduceat(h, self.start) if len(self.start) else h for h in halves])
 
-    def signatures(self, dense: list[np.ndarray], only_level: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(record, signature) under which the records are filed; with ``only_level``, all of that level instead.
+    def signatures(self, dense: list[np.ndarray], only_level: int | None = None, giant: list[np.ndarray] | None = None, blocks: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(record, signature, cap) under which the records are filed; with ``only_level``, all of that level instead.
 
-        ``dense`` holds the dense signatures by level. A record that could agree on no more words than a level
-        has is filed at that level even if the signature is dense.
+        ``cap`` is the most words that a record can share with another of the node: those of the signature and
+        those that follow. ``dense`` and ``giant`` hold hash filters of the dense and the giant signatures by level.
+        A record that need not agree on more words than a level has is filed at that level even if the signature is
+        dense, and so is every record at the last level. A giant one is then split into ``blocks``: a record is filed
+        for every pair of blocks that its own belongs to, so any two still meet.
         """
         record = np.arange(len(self.size))
         at, left, sig = np.zeros_like(record), self.size - self.need, np.zeros(len(record), dtype=np.uint64)
-        out_record, out_sig = [], []
+        out: list[tuple] = []
         for level in range(1, MAX_LEVELS + 1):
             parts: list[tuple] = []
             for skip in range(int(left.max(initial=-1)) + 1):
@@ -127,18 +134,29 @@ class Ordered:
             if not parts:
                 break
             record, at, left, sig = (np.concatenate(c) for c in zip(*parts, strict=True))
+            cap = level + self.size[record] - at
             if level == only_level:
-                return record, sig
-            more = _among(sig, dense[level - 1]) if level <= len(dense) and level < MAX_LEVELS else np.zeros(len(sig), dtype=bool)
-            final = ~more | (self.need[record] <= level)
-            out_record.append(record[final])
-            out_sig.append(sig[final])
+                return record, sig, cap
+            more = among(sig, dense[level - 1]) if level <= len(dense) else np.zeros(len(sig), dtype=bool)
+            final = ~more | (self.need[record] <= level) | (level == MAX_LEVELS)
+            split = final & more & among(sig, giant[level - 1]) if giant and blocks > 1 and level <= len(giant) else np.zeros(len(sig), dtype=bool)
+            out.append((record[final & ~split], sig[final & ~split], cap[final & ~split]))
+            if split.any():
+                out.append(self._blocks(record[split], sig[split], cap[split], blocks))
             record, at, left, sig = record[more], at[more], left[more], sig[more]
             if not len(record):
                 break
-        if only_level is not None or not out_record:
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-        return np.concatenate(out_record), np.concatenate(out_sig)
+        if only_level is not None or not out:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        record, sig, cap = (np.concatenate(c) for c in zip(*out, strict=True))
+        return record, sig, cap
+
+    def _blocks(self, record, sig, cap, blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        sums = np.add.reduceat(_mix(self.values.astype(np.uint64)), self.start) if len(self.start) else np.zeros(0, dtype=np.uint64)
+        own = np.repeat(sums[record] % np.uint64(blocks), blocks)
+        other = np.tile(np.arange(blocks, dtype=np.uint64), len(record))
+        pair = np.minimum(own, other) * np.uint64(blocks) + np.maximum(own, other)
+        return np.repeat(record, blocks), _mix(np.repeat(sig, blocks) + _mix(pair + _SALT)), np.repeat(cap, blocks)
 
 
 def level_one(word_hash: np.ndarray) -> np.ndarray:
@@ -146,95 +164,123 @@ def level_one(word_hash: np.ndarray) -> np.ndarray:
     return _mix(word_hash.astype(np.uint64) + _SALT)
 
 
-class SignatureTree:
-    """Records of one group: leaves of neighbours by size, nodes with combined bitmaps and size ranges."""
+def hash_filter(sigs: np.ndarray) -> np.ndarray:
+    """A bit for each signature, in 64-bit words; their number is a power of two and has a bound.
+
+    A signature that only seems to be in it is taken as dense by all records alike, which costs a level more and
+    loses nothing.
+    """
+    bits = 1 << 12
+    while bits < min(64 * len(sigs), MAX_FILTER_BITS):
+        bits *= 2
+    out = np.zeros(bits // 64, dtype=np.uint64)
+    place = sigs & np.uint64(bits - 1)
+    np.bitwise_or.at(out, (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
+    return out if len(sigs) else out[:0]
+
+
+def among(sigs: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """True for the signatures that are in a ``hash_filter``."""
+    if not len(held):
+        return np.zeros(len(sigs), dtype=bool)
+    place = sigs & np.uint64(64 * len(held) - 1)
+    return held[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1) > 0
+
+
+def _bits(x: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x).sum(-1, dtype=np.int64)
 
-    def __init__(self, size: np.ndarray, bitmap: np.ndarray, num: int = NUM, den: int = DEN):
+
+class SignatureForest:
+    """One signature tree for each run of equal signatures; all trees are built and traversed together.
+
+    Records, the leaves, stand in order of ``cap`` and size. A node combines FANOUT children: the range of their
+    sizes, their largest cap, their bitmaps by OR and by AND, and the most bits that words of one record share
+    (``slack``). The dual traversal takes pairs of nodes of one level, starting with each root and itself, drops
+    those whose records cannot agree enough (``possible``), and goes on with the pairs of the children of the rest.
+    ``tested`` and ``kept`` count the pairs of each level, 0 being the records.
+    """
+
+    def __init__(self, sig: np.ndarray, size: np.ndarray, cap: np.ndarray, bitmap: np.ndarray, num: int = NUM, den: int = DEN):
         self.num, self.den = num, den
-        self.order = np.lexsort((bitmap[:, 1], bitmap[:, 0], size))
-        self.size, self.bitmap = size[self.order].astype(np.int64), np.ascontiguousarray(bitmap[self.order])
-        cuts = np.arange(0, len(size), LEAF)
-        self.levels = [self._nodes(self.size, self.size, self.bitmap, self.bitmap, cuts)]
-        while len(self.levels[-1][0]) > 1:
-            low, high, any_, all_ = self.levels[-1]
-            self.levels.append(self._nodes(low, high, any_, all_, np.arange(0, len(low), FANOUT)))
-
-    @staticmethod
-    def _nodes(low, high, any_, all_, cuts):
-        return (
-            np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts),
-            np.bitwise_or.reduceat(any_, cuts, axis=0), np.bitwise_and.reduceat(all_, cuts, axis=0),
-        )
-
-    def _possible(self, level: int, a: int, b: int) -> bool:
-        low, high, any_, all_ = self.levels[level]
-        missed_a = int(np.bitwise_count(all_[a] & ~any_[b]).sum())
-        missed_b = int(np.bitwise_count(all_[b] & ~any_[a]).sum())
-        most = min(high[a] - missed_a, high[b] - missed_b)
-        return most * (self.den + self.num) >= self.num * (low[a] + low[b]) and min(high[a], high[b]) * self.den >= self.num * max(low[a], low[b])
+        self.order = np.lexsort((size, cap, sig))
+        sig, size, cap, bitmap = sig[self.order], size[self.order].astype(np.int64), cap[self.order].astype(np.int64), np.ascontiguousarray(bitmap[self.order])
+        self.levels = [{"low": size, "high": size, "cap": cap, "slack": size - _bits(bitmap), "any": bitmap, "all": bitmap}]
+        while len(sig) and (len(self.levels) == 1 or (sig[1:] == sig[:-1]).any()):
+            starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+            place = np.arange(len(sig)) - np.repeat(starts, np.diff(np.r_[starts, len(sig)]))
+            self._combine(np.flatnonzero(place % FANOUT == 0))
+            sig = sig[place % FANOUT == 0]
+        self.tested, self.kept = [0] * len(self.levels), [0] * len(self.levels)
+
+    def _combine(self, cuts: np.ndarray) -> None:
+        below = self.levels[-1]
+        self.levels.append({
+            "low": np.minimum.reduceat(below["low"], cuts), "high": np.maximum.reduceat(below["high"], cuts),
+            "cap": np.maximum.reduceat(below["cap"], cuts), "slack": np.maximum.reduceat(below["slack"], cuts),
+            "any": np.bitwise_or.reduceat(below["any"], cuts, axis=0), "all": np.bitwise_and.reduceat(below["all"], cuts, axis=0),
+            "first": cuts, "count": np.diff(np.r_[cuts, len(below["low"])]),
+        })
+
+    def possible(self, level: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Places of the node pairs (a, b) of a level in which some two records may agree in num / den.
+
+        Two records of n and m words need num / (num + den) of n + m words in common. They have at most cap in
+        common, at most the bits of both and slack, and at most n less the bits that the other cannot have.
+        """
+        at, num, den = self.levels[level], self.num, self.den
+        both = num + den
+        need = num * (at["low"][a] + at["low"][b])
+        kept = np.flatnonzero((np.minimum(at["cap"][a], at["cap"][b]) * both >= need) & (den * np.minimum(at["high"][a], at["high"][b]) >= num * np.maximum(at["low"][a], at["low"][b])))
+        a, b, need = a[kept], b[kept], need[kept]
+        any_a, any_b = at["any"][a], at["any"][b]
+        ok = (np.minimum(at["slack"][a], at["slack"][b]) + _bits(any_a & any_b)) * both >= need
+        if level:
+            lost_a, lost_b = _bits(at["all"][a] & ~any_b), _bits(at["all"][b] & ~any_a)
+            ok &= (den * at["high"][a] - num * at["low"][b] >= both * lost_a) & (den * at["high"][b] - num * at["low"][a] >= both * lost_b)
+        else:
+            lost_a, lost_b = _bits(any_a & ~any_b), _bits(any_b & ~any_a)
+            ok &= np.minimum(at["low"][a] - lost_a, at["low"][b] - lost_b) * both >= need
+        return kept[ok]
+
+    def _children(self, level: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first, count = self.levels[level]["first"], self.levels[level]["count"]
+        n = count[a] * count[b]
+        pair = np.repeat(np.arange(len(a)), n)
+        place = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)
+        i, j = first[a][pair] + place // count[b][pair], first[b][pair] + place % count[b][pair]
+        own = (a[pair] != b[pair]) | ((i < j) if level == 1 else (i <= j))
+        return i[own], j[own]
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Places (i, j) of the records that may agree enough, each pair once."""
-        out_i, out_j = [], []
-        stack = [(len(self.levels) - 1, 0, 0)]
+        """Places (i, j) of the records that may agree enough, each pair of a run once."""
+        top = len(self.levels) - 1
+        roots = np.arange(len(self.levels[top]["low"]))
+        self.tested[top], kept = len(roots), self.possible(top, roots, roots)
+        self.kept[top] = len(kept)
+        stack = [(top, roots[kept], roots[kept])] if top else []
+        out_i, out_j = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
         while stack:
             level, a, b = stack.pop()
-            if not self._possible(level, a, b):
+            if len(a) > FRONTIER:
+                stack += [(level, a[x : x + FRONTIER], b[x : x + FRONTIER]) for x in range(0, len(a), FRONTIER)]
                 continue
-            if level:
-                n = len(self.levels[level - 1][0])
-                left, right = range(a * FANOUT, min(a * FANOUT + FANOUT, n)), range(b * FANOUT, min(b * FANOUT + FANOUT, n))
-                stack += [(level - 1, i, j) for i in left for j in right if i <= j]
-                continue
-            i, j = self._leaves(a, b)
-            out_i.append(i)
-            out_j.append(j)
-        if not out_i:
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+            i, j = self._children(level, a, b)
+            kept = self.possible(level - 1, i, j)
+            self.tested[level - 1] += len(i)
+            self.kept[level - 1] += len(kept)
+            if level > 1 and len(kept):
+                stack.append((level - 1, i[kept], j[kept]))
+            elif level == 1:
+                out_i.append(i[kept])
+                out_j.append(j[kept])
         return self.order[np.concatenate(out_i)], self.order[np.concatenate(out_j)]
 
-    def _leaves(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
-        x, y = slice(a * LEAF, a * LEAF + LEAF), slice(b * LEAF, b * LEAF + LEAF)
-        hit = may_agree(self.size[x, None], self.bitmap[x, None, :], self.size[None, y], self.bitmap[None, y, :], self.num, self.den)
-        if a == b:
-            hit = np.triu(hit, 1)
-        i, j = np.nonzero(hit)
-        return i + a * LEAF, j + b * LEAF
-
-
-def may_agree(n1, b1, n2, b2, num: int = NUM, den: int = DEN) -> np.ndarray:
-    """True where two records can reach the similarity: a word whose bit the other lacks is not shared."""
-    gone1 = np.bitwise_count(b1[..., 0] & ~b2[..., 0]) + np.bitwise_count(b1[..., 1] & ~b2[..., 1])
-    gone2 = np.bitwise_count(b2[..., 0] & ~b1[..., 0]) + np.bitwise_count(b2[..., 1] & ~b1[..., 1])
-    return np.minimum(n1 - gone1, n2 - gone2) * (den + num) >= num * (n1 + n2)
-
-
-def group_pairs(sig: np.ndarray, rid: np.ndarray, size: np.ndarray, bitmap: np.ndarray, num: int = NUM, den: int = DEN) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs (smaller rid first) within runs of equal ``sig``; small runs are compared lag by lag."""
-    starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]]) if len(sig) else np.zeros(0, dtype=np.int64)
-    lengths = np.diff(np.r_[starts, len(sig)])
-    left, right = [], []
-    rest = np.where(np.repeat(lengths <= SMALL, lengths), np.repeat(starts + lengths, lengths) - np.arange(len(sig)) - 1, 0)
-    for lag in range(1, SMALL):
-        i = np.flatnonzero(rest >= lag)
-        if not len(i):
-            break
-        hit = may_agree(size[i], bitmap[i], size[i + lag], bitmap[i + lag], num, den)
-        left.append(i[hit])
-        right.append(i[hit] + lag)
-    for s, n in zip(starts[lengths > SMALL].tolist(), lengths[lengths > SMALL].tolist(), strict=True):
-        if n <= LEAF:  # a tree of one leaf
-            own_size, own_bits = size[s : s + n], bitmap[s : s + n]
-            i, j = np.nonzero(np.triu(may_agree(own_size[:, None], own_bits[:, None], own_size[None], own_bits[None], num, den), 1))
-            left.append(i + s)
-            right.append(j + s)
-            continue
-        i, j = SignatureTree(size[s : s + n], bitmap[s : s + n], num, den).pairs()
-        left.append(i + s)
-        right.append(j + s)
-    if not left:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    a, b = rid[np.concatenate(left)], rid[np.concatenate(right)]
+
+def group_pairs(sig: np.ndarray, rid: np.ndarray, size: np.ndarray, cap: np.ndarray, bitmap: np.ndarray, num: int = NUM, den: int = DEN) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs (smaller rid first, each once) within runs of equal ``sig``."""
+    i, j = SignatureForest(sig, size, cap, bitmap, num, den).pairs()
+    a, b = rid[i], rid[j]
     both = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)])[a != b], axis=0)
     return both[:, 0], both[:, 1]
 
@@ -243,18 +289,21 @@ def _threshold(n: int, share: int, most: int) -> int:
     return min(max(LEAST_DENSE, n // share), most)
 
 
+def _column(df: DataFrame, limit: int) -> pa.Table | None:
+    """The rows of ``df`` as one Arrow table, or None where it has more than ``limit``."""
+    rows = df.limit(limit + 1).toArrow()
+    return rows if rows.num_rows <= limit else None
+
+
 def _dense_words(hashed: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, number of records) of the frequent words by hash; where they exceed their bound, of those twice as frequent."""
     counted = hashed.select(F.explode("w").alias("h")).groupBy("h").agg(F.count("*").alias("n"))
     limit = _threshold(n, WORD_SHARE, MOST_WORD)
-    while True:
-        try:
-            rows = bounded_rows(counted.filter(F.col("n") > limit), MAX_DENSE, "the set of frequent words")
-            break
-        except TooLarge:
-            limit *= 2
-    h = np.array([r.h for r in rows], dtype=np.int32).view(np.uint32)
+    while (rows := _column(counted.filter(F.col("n") > limit), MAX_DENSE)) is None:
+        limit *= 2
+    h = rows.column("h").to_numpy().astype(np.int32).view(np.uint32)
     order = np.argsort(h)
-    return h[order], np.array([r.n for r in rows], dtype=np.int64)[order]
+    return h[order], rows.column("n").to_numpy()[order]
 
 
 def word_hashes(text: Column) -> Column:
@@ -267,38 +316,39 @@ def candidate_pairs(records: DataFrame, num: int = NUM, den: int = DEN) -> DataF
     hashed = records.select("rid", "w")
     n = records.count()
     frequent, counts = _dense_words(hashed, n)
-    dense = [np.sort(level_one(frequent))]
+    limit = _threshold(n, NODE_SHARE, MOST_NODE)
+    dense, giant = [hash_filter(level_one(frequent))], [hash_filter(level_one(frequent[counts > 4 * MOST_NODE]))]
+    most = int(counts.max(initial=0))
 
     def count_level(level: int, known: list[np.ndarray]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                _, sig = Ordered(batch.column(1), frequent, counts, num, den).signatures(known, level)
+                _, sig, _ = Ordered(batch.column(1), frequent, counts, num, den).signatures(known, level)
                 sig, k = np.unique(sig, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(k)], names=["sig", "n"])
 
         return run
 
-    limit = _threshold(n, NODE_SHARE, MOST_NODE)
-    while len(dense[-1]) and len(dense) < MAX_LEVELS - 1:
+    while len(dense[-1]) and len(dense) < MAX_LEVELS:
         counted = hashed.mapInArrow(count_level(len(dense) + 1, list(dense)), "sig bigint, n bigint").groupBy("sig").agg(F.sum("n").alias("n"))
         own = limit
-        while True:
-            try:
-                rows = bounded_rows(counted.filter(F.col("n") > own), MAX_DENSE, "the set of dense signatures")
-                break
-            except TooLarge:
-                own *= 2
-        dense.append(np.sort(np.array([r.sig for r in rows], dtype=np.int64).view(np.uint64)))
+        while (rows := _column(counted.filter(F.col("n") > own), MAX_DENSE)) is None:
+            own *= 2
+        sig, k = rows.column("sig").to_numpy().view(np.uint64), rows.column("n").to_numpy()
+        dense.append(hash_filter(sig))
+        giant.append(hash_filter(sig[k > 4 * MOST_NODE]))
+        most = max(most, int(k.max(initial=0)))
+    blocks = -(-most // MOST_NODE)
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = Ordered(batch.column(1), frequent, counts, num, den)
-            record, sig = own.signatures(dense)
+            record, sig, cap = own.signatures(dense, giant=giant, blocks=blocks)
             rid = batch.column(0).to_numpy()[record]
             bits = own.bitmaps()[record].view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(sig.view(np.int64)), pa.array(rid), pa.array(own.size[record].astype(np.int32)), pa.array(bits[:, 0]), pa.array(bits[:, 1])],
-                names=["sig", "rid", "size", "b0", "b1"],
+                [pa.array(sig.view(np.int64)), pa.array(rid), pa.array(own.size[record].astype(np.int32)), pa.array(cap.astype(np.int32)), pa.array(bits[:, 0]), pa.array(bits[:, 1])],
+                names=_FILED,
             )
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,12 +357,12 @@ def candidate_pairs(records: DataFrame, num: int = NUM, den: int = DEN) -> DataF
 
         def flush(last: bool) -> pa.RecordBatch:
             nonlocal held, rows
-            sig, rid, size, b0, b1 = (np.concatenate([h.column(i).to_numpy() for h in held]) for i in range(5))
+            sig, rid, size, cap, b0, b1 = cols = [np.concatenate([h.column(i).to_numpy() for h in held]) for i in range(len(_FILED))]
             end = len(sig) if last else int(np.searchsorted(sig, sig[-1], side="left"))
-            held = [] if last else [pa.RecordBatch.from_arrays([pa.array(c[end:]) for c in (sig, rid, size, b0, b1)], names=["sig", "rid", "size", "b0", "b1"])]
+            held = [] if last else [pa.RecordBatch.from_arrays([pa.array(c[end:]) for c in cols], names=_FILED)]
             rows = len(sig) - end
             bits = np.column_stack([b0[:end], b1[:end]]).view(np.uint64)
-            a, b = group_pairs(sig[:end], rid[:end], size[:end].astype(np.int64), bits, num, den)
+            a, b = group_pairs(sig[:end], rid[:end], size[:end], cap[:end], bits, num, den)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         threshold = 200_000
@@ -326,7 +376,7 @@ def candidate_pairs(records: DataFrame, num: int = NUM, den: int = DEN) -> DataF
         if held:
             yield flush(True)
 
-    filed = hashed.mapInArrow(file, "sig bigint, rid bigint, size int, b0 bigint, b1 bigint")
+    filed = hashed.mapInArrow(file, "sig bigint, rid bigint, size int, cap int, b0 bigint, b1 bigint")
     return filed.repartition("sig").sortWithinPartitions("sig").mapInArrow(join, "a bigint, b bigint").distinct()
 
 
@@ -344,14 +394,57 @@ def similar_pairs(records: DataFrame, num: int = NUM, den: int = DEN) -> DataFra
     return both.filter(agree).select("a", "b", *(F.col(f"{x}.{c}").alias(f"{c}_{side}") for x, side in (("x", "a"), ("y", "b")) for c in ("first", "last")))
 
 
+_STAGED: dict[str, SparkSession] = {}
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder, read again: cuts the lineage and outlives executors."""
+    """``df`` as a table in the shared folder, read again: cuts the lineage and outlives executors.
+
+    What is not removed by ``dropped`` before is removed when Python ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid4().hex}"
+    _STAGED[path] = spark
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Remove tables that ``written`` made and that nothing reads any more."""
+    held = {f.rsplit("/", 1)[0].split(":", 1)[-1].lstrip("/") for t in tables for f in t.inputFiles()}
+    for path in [p for p in _STAGED if p.split(":", 1)[-1].lstrip("/") in held]:
+        _remove(path, _STAGED.pop(path))
+
+
+def _remove(path: str, spark: SparkSession) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
+@atexit.register
+def _remove_staged() -> None:
+    while _STAGED:
+        path, spark = _STAGED.popitem()
+        try:
+            if spark.sparkContext._jsc is not None:
+                _remove(path, spark)
+        except Exception:  # the session ended before: its folder is all that is left
+            continue
+
+
+def within_classes(members: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(a_id, b_id) with a_id < b_id: all pairs of ids of one class of ``members`` (rid, id).
+
+    A class of more than ``block`` ids is cut into blocks, and each pair of blocks is a key of its own.
+    """
+    large = members.groupBy("rid").agg(F.count("*").alias("n")).filter(F.col("n") > block).select("rid", F.ceil(F.col("n") / block).alias("blocks"))
+    cut = members.join(large, "rid", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
+    left = cut.select("rid", F.col("id").alias("a_id"), F.col("own").alias("x"), every.alias("y"))
+    right = cut.select("rid", F.col("id").alias("b_id"), F.col("own").alias("y"), every.alias("x"))
+    return left.join(right, ["rid", "x", "y"]).filter("a_id < b_id").select("a_id", "b_id")
+
+
 def finding_pairs(*tables: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """(finding_a, finding_b), smaller first: all pairs of different ids whose summaries agree.
 
@@ -359,9 +452,9 @@ def finding_pairs(*tables: DataFrame, num: int = NUM, den: int = DEN) -> DataFra
     Summaries that are null, empty or without a word are left out. Every pair within a class of equal word
     sets is given too.
     """
-    records = findings(*tables)
+    records = written(keyed(findings(*tables)), "findings")
     sets = written(classes(records), "finding-classes")
-    pairs = similar_pairs(sets, num, den)
+    pairs = written(similar_pairs(sets, num, den), "finding-pairs")
     members = class_members(records, sets)
     of = lambda side: members.select(F.col("rid").alias(side), F.col("id").alias(f"{side}_id"))
     single = pairs.filter("first_a = last_a and first_b = last_b").select(F.col("first_a").alias("a_id"), F.col("first_b").alias("b_id"))
@@ -369,8 +462,7 @@ def finding_pairs(*tables: DataFrame, num: int = NUM, den: int = DEN) -> DataFra
         pairs.filter("first_a <> last_a or first_b <> last_b").join(of("a"), "a", "left").join(of("b"), "b", "left")
         .select(F.coalesce("a_id", "first_a").alias("a_id"), F.coalesce("b_id", "first_b").alias("b_id"))
     )
-    within = members.join(members.select("rid", F.col("id").alias("other")), "rid").filter("id < other").select(F.col("id").alias("a_id"), F.col("other").alias("b_id"))
-    out = single.unionByName(several).unionByName(within)
+    out = single.unionByName(several).unionByName(within_classes(members))
     return out.select(F.least("a_id", "b_id").alias("finding_a"), F.greatest("a_id", "b_id").alias("finding_b")).filter("finding_a <> finding_b").distinct()
 
 
@@ -379,7 +471,8 @@ def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
 
     Each round a node, and the node that its label names, take the smallest label of the labels of its neighbours,
     so whole regions are hooked at once and rounds grow with the logarithm of the size. Rounds end when no
-    label changes; if ``rounds`` do not suffice, that is an error. Every round is written to the shared folder.
+    label changes; if ``rounds`` do not suffice, that is an error. Every round is written to the shared folder,
+    and removed when the next one is.
     """
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("group")), "labels")
@@ -390,8 +483,10 @@ def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
         lower = far.join(seen, far["node"] == seen["a"]).select("node", "old", "far", "near")
         hooks = lower.groupBy(F.col("old").alias("node")).agg(F.min("near").alias("hook"))
         after = written(lower.join(hooks, "node", "left").select("node", "old", F.least("far", "near", "hook").alias("group")), "labels")
+        dropped(labels)
         labels = after.select("node", "group")
         if not after.filter("group <> old").limit(1).count():
+            dropped(both)
             return labels
     raise RuntimeError(f"connected components did not settle in {rounds} rounds")
 
@@ -404,15 +499,15 @@ def finding_groups(*tables: DataFrame, num: int = NUM, den: int = DEN) -> DataFr
     of other word sets that agree with it, ``group_id`` the smallest class_id of its connected component.
     Copies are not expanded into pairs.
     """
-    records = findings(*tables)
+    records = written(keyed(findings(*tables)), "findings")
     sets = written(classes(records), "finding-classes")
     pairs = written(similar_pairs(sets, num, den).select("a", "b"), "finding-pairs")
     links = pairs.select(F.explode(F.array("a", "b")).alias("rid")).groupBy("rid").agg(F.count("*").alias("links"))
     keys = sets.select("key", "rid")
-    of_id = records.groupBy("id").agg(F.min("text").alias("text"), F.collect_set(set_key(F.col("text"))).alias("keys"))
-    edited = of_id.filter(F.size("keys") > 1).select("id", F.explode("keys").alias("key")).join(keys, "key")
+    of_id = records.groupBy("id").agg(F.min(F.struct("text", "key")).alias("least"), F.count_distinct("key").alias("keys"))
+    edited = of_id.filter("keys > 1").select("id").join(records.select("id", "key").distinct(), "id").join(keys, "key")
     bound = edited.join(edited.groupBy("id").agg(F.min("rid").alias("a")), "id").filter("a <> rid").select("a", F.col("rid").alias("b"))
-    standing = of_id.select("id", set_key(F.col("text")).alias("key")).join(keys, "key")
+    standing = of_id.select("id", "least.key").join(keys, "key")
     named = (
         standing.groupBy("rid").agg(F.min("id").alias("class_id")).join(links, "rid", "left")
         .join(components(pairs.unionByName(bound)).withColumnRenamed("node", "rid"), "rid", "left").withColumn("group", F.coalesce("group", "rid"))

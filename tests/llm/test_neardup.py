@@ -80,38 +80,69 @@ def test_components_of_a_long_chain(spark):
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.frozensets(st.integers(0, 12), min_size=1, max_size=9), min_size=2, max_size=40))
-def test_filters_never_lose_a_pair(sets):
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.frozensets(st.integers(0, 12), min_size=1, max_size=9), min_size=2, max_size=40), st.integers(1, 3))
+def test_filters_never_lose_a_pair(sets, blocks):
     import pyarrow as pa
 
     lists = pa.array([[int(x) * 7919 for x in s] for s in sets], pa.list_(pa.int32()))
     values, counts = np.unique(np.array([x * 7919 for s in sets for x in s], dtype=np.int32).view(np.uint32), return_counts=True)
     often = counts > 3
     own = N.Ordered(lists, values[often], counts[often], N.NUM, N.DEN)
-    dense = [np.sort(N.level_one(values[often]))]
+    dense = [N.hash_filter(N.level_one(values[often]))]
+    giant = [N.hash_filter(N.level_one(values[counts > 6]))]
     for level in (2, 3):
-        _, sig = own.signatures(dense, level)
+        _, sig, _ = own.signatures(dense, level)
         s, k = np.unique(sig, return_counts=True)
-        dense.append(np.sort(s[k > 3]))
-    record, sig = own.signatures(dense)
+        dense.append(N.hash_filter(s[k > 3]))
+        giant.append(N.hash_filter(s[k > 6]))
+    record, sig, cap = own.signatures(dense, giant=giant, blocks=blocks)
     order = np.argsort(sig, kind="stable")
-    a, b = N.group_pairs(sig[order], record[order], own.size[record][order], own.bitmaps()[record][order])
+    a, b = N.group_pairs(sig[order], record[order], own.size[record][order], cap[order], own.bitmaps()[record][order])
     found = set(zip(a.tolist(), b.tolist(), strict=True))
     want = {(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) * N.DEN >= N.NUM * len(sets[i] | sets[j])}
     assert want <= found
 
 
-def test_tree_equals_flat_comparison():
-    rnd = np.random.default_rng(5)
-    n = 900
+def similar_bits(seed, n):
+    rnd = np.random.default_rng(seed)
     bits = rnd.integers(0, 2**63, (n, 2), dtype=np.uint64) & rnd.integers(0, 2**63, (n, 2), dtype=np.uint64)
     bits[n // 2 :] = bits[: n - n // 2] ^ (np.uint64(1) << rnd.integers(0, 60, (n - n // 2, 1), dtype=np.uint64))
     size = np.bitwise_count(bits).sum(1).astype(np.int64)
-    i, j = N.SignatureTree(size, bits).pairs()
-    flat = np.nonzero(np.triu(N.may_agree(size[:, None], bits[:, None], size[None], bits[None]), 1))
-    key = lambda a, b: set(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True))
-    assert key(i, j) == key(*flat)
+    return np.tile(rnd.integers(0, 3, n // 2), 2).astype(np.uint64), size, size - rnd.integers(0, 9, n), bits
+
+
+def test_forest_equals_flat_comparison():
+    sig, size, cap, bits = similar_bits(5, 900)
+    i, j = N.SignatureForest(sig, size, cap, bits).pairs()
+    shared = np.bitwise_count(bits[:, None] & bits[None]).sum(-1)
+    shared = np.minimum(shared, np.minimum(cap[:, None], cap[None]))
+    flat = np.nonzero(np.triu((shared * 17 >= 7 * (size[:, None] + size[None])) & (sig[:, None] == sig[None]), 1))
+    key = lambda a, b: sorted(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True))
+    assert key(i, j) == key(*flat) and len(i) > 50
+    assert not len(N.SignatureForest(sig[:0], size[:0], cap[:0], bits[:0]).pairs()[0])
+    assert not len(N.SignatureForest(sig[:1], size[:1], cap[:1], bits[:1]).pairs()[0])
+
+
+def test_the_traversal_prunes_nodes_and_decides_the_candidates(monkeypatch):
+    """Without the pruning of node pairs every pair of a node's records is a candidate; with it few are left."""
+    import pyarrow as pa
+
+    texts = corpus(11, 3000, 400, (12, 40))
+    sets = [sorted(set(t.split())) for _, t in texts]
+    lists = pa.array([[int(w[1:]) * 7919 + 1 for w in s] for s in sets], pa.list_(pa.int32()))
+    own = N.Ordered(lists, np.zeros(0, np.uint32), np.zeros(0, np.int64), N.NUM, N.DEN)
+    record, sig, cap = own.signatures([])
+    order = np.argsort(sig, kind="stable")
+    args = sig[order], own.size[record][order], cap[order], own.bitmaps()[record][order]
+    tree = N.SignatureForest(*args)
+    found = len(tree.pairs()[0])
+    flat = sum(k * (k - 1) // 2 for k in np.unique(sig, return_counts=True)[1].tolist())
+    assert sum(tree.kept[1:]) < 0.7 * sum(tree.tested[1:])  # pairs of inner nodes that are left
+    assert tree.tested[0] < 0.6 * flat and found < 0.05 * flat
+    monkeypatch.setattr(N.SignatureForest, "possible", lambda self, level, a, b: np.arange(len(a)))
+    blind = N.SignatureForest(*args)
+    assert len(blind.pairs()[0]) == blind.tested[0] == flat
 
 
 def test_words_ignore_case_and_marks(spark):
@@ -133,3 +164,31 @@ def test_one_id_with_two_texts_counts_with_each(spark):
     assert got == brute(texts) == {(1, 2), (1, 3), (1, 4), (1, 5), (2, 4), (3, 5)}
     rows = {r.finding_id: (r.class_id, r.links, r.group_id) for r in N.finding_groups(frame(spark, texts)).collect()}
     assert rows == {1: (1, 1, 1), 2: (1, 1, 1), 3: (3, 1, 1), 4: (4, 1, 1), 5: (5, 1, 1), 6: (6, 0, 6)}
+
+
+def shuffled_chain(seed, n, start=0):
+    names = list(range(start, start + n))
+    random.Random(seed).shuffle(names)
+    return list(zip(names, names[1:]))
+
+
+def test_components_of_shuffled_chains(spark):
+    edges = spark.createDataFrame(shuffled_chain(1, 1000) + shuffled_chain(2, 1500, 5000), "a bigint, b bigint")
+    got = {r.node: r.group for r in N.components(edges, rounds=20).collect()}
+    assert got == {**{i: 0 for i in range(1000)}, **{i: 5000 for i in range(5000, 6500)}}
+
+
+def test_hot_class_and_groups_against_union_find(spark, monkeypatch):
+    monkeypatch.setattr(N, "LEAST_DENSE", 4)
+    monkeypatch.setattr(N, "MOST_NODE", 8)
+    texts = corpus(7, 250, 40, (2, 14)) + [(1000 + i, "same few words") for i in range(120)]
+    got = {tuple(r) for r in N.finding_pairs(frame(spark, texts)).collect()}
+    assert got == brute(texts)
+    parent = {}
+    find = lambda x: x if parent.setdefault(x, x) == x else find(parent[x])
+    for a, b in got:
+        parent[max(find(a), find(b))] = min(find(a), find(b))
+    groups = {r.finding_id: r.group_id for r in N.finding_groups(frame(spark, texts)).collect()}
+    assert groups == {i: find(i) for i, t in texts}
+    members = spark.createDataFrame([(1, i) for i in range(50)] + [(2, 7)], "rid bigint, id bigint")
+    assert sorted(tuple(r) for r in N.within_classes(members, block=6).collect()) == [(i, j) for i in range(50) for j in range(i + 1, 50)]
