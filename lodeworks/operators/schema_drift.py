@@ -2,9 +2,9 @@
 
 The bags of one file and section make a schema graph: a node for the schema, its fields, their nested keys,
 their name words and their types. For each pair of successive files the two graphs are multiplied into a
-propagation graph; match scores start from names and types (plus how far the values of shared entries agree), flow along
-equal edges to a fixed point, and the best consistent one-to-one correspondences of lost with new fields are
-selected. A correspondence counts as a rename where the values confirm it exactly.
+propagation graph; match scores start from names and types and from how far the values of shared entries agree, flow
+along equal edges to a fixed point, and by these scores alone the lost fields are matched with the new ones, one to
+one. Values are looked at once more only to confirm what was selected: a correspondence is a rename where all agree.
 
 Only schema-level rows (field, types, nested keys of a file) enter the flooding, never entries, so its groups
 grow with the number of fields, not with the data; entries are only exploded, pre-aggregated and joined.
@@ -16,16 +16,20 @@ import re
 from collections.abc import Iterator
 from itertools import product
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeworks.session import cut_lineage
+from lodeworks.session import written
 
 FILE_KEY = ("origin", "feed", "section", "file_no")
-#: Rounds of propagation at most, and the residual at which the scores count as converged.
-MAX_ROUNDS, RESIDUAL = 60, 1e-4
+#: Share of its neighbours' scores that a pair takes over (below a quarter, as a pair has neighbours of four kinds at
+#: most, so rounds always converge), change at which they have, and start score of names that are written alike.
+FLOW, RESIDUAL, NAMES = 0.1, 1e-6, 0.3
+#: Least score of a correspondence. Fields whose shared values all agree start with 1.
+LEAST = 0.25
 
 
 def reference_bags(reference: DataFrame) -> DataFrame:
@@ -66,13 +70,13 @@ def field_values(bags: DataFrame, keep_files: bool = False) -> DataFrame:
     return out if keep_files else out.filter("field is not null")
 
 
-def file_pairs(bags: DataFrame) -> DataFrame:
+def file_pairs(held: DataFrame) -> DataFrame:
     """FILE_KEY (of the later file), fields ARRAY<STRUCT<side, field, kinds, keys>> for every two successive files.
 
+    ``held`` is ``field_values`` with its files kept.
     Files are those with any entry, so one whose bags are all empty loses every field. Each file's schema is
     dealt to the two pairs it belongs to, so no join is needed; a file's marker is a null field.
     """
-    held = field_values(bags, keep_files=True)
     flat = held.groupBy(*FILE_KEY, "field", "kind").agg(F.flatten(F.collect_set("keys")).alias("keys"))
     schemas = flat.groupBy(*FILE_KEY, "field").agg(F.sort_array(F.collect_set("kind")).alias("kinds"), F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys"))
     dealt = schemas.select(
@@ -85,7 +89,7 @@ def file_pairs(bags: DataFrame) -> DataFrame:
     return grouped.filter(F.size("sides") == 2).select(*FILE_KEY, "fields")
 
 
-def rename_evidence(bags: DataFrame, pairs: DataFrame) -> DataFrame:
+def rename_evidence(values: DataFrame, pairs: DataFrame) -> DataFrame:
     """FILE_KEY, pairs ARRAY<STRUCT<old_field, field, both, equal>> over lost and new fields of two files.
 
     ``both`` counts canonical_ids with a value under both, ``equal`` those whose values are the same. Entries
@@ -101,7 +105,7 @@ def rename_evidence(bags: DataFrame, pairs: DataFrame) -> DataFrame:
             F.transform(F.array_except(names("new"), names("old")), lambda f: F.struct(f.alias("field"), F.col("file_no").alias("file_no"), F.lit("new").alias("side"))),
         )).alias("m"),
     ).select("origin", "feed", "section", "pair", "m.*")
-    held = field_values(bags).filter("canonical_id is not null").select(*FILE_KEY, "canonical_id", "field", "value")
+    held = values.filter("field is not null and canonical_id is not null").select(*FILE_KEY, "canonical_id", "field", "value")
     keyed = held.join(moves, [*FILE_KEY, "field"]).groupBy("origin", "feed", "section", "pair", "canonical_id", "side", "field").agg(F.sort_array(F.collect_set("value")).alias("has"))
     per_id = keyed.groupBy("origin", "feed", "section", "pair", "canonical_id").agg(F.collect_list(F.struct("side", "field", "has")).alias("v"))
     side = lambda k: F.filter("v", lambda x: x["side"] == k)
@@ -146,63 +150,53 @@ def schema_graph(fields: Schema) -> list[tuple[tuple, str, tuple]]:
 def flood(old: Schema, new: Schema, evidence: dict[tuple[str, str], float]) -> dict[tuple[str, str], float]:
     """Match scores of old with new fields at the fixed point of similarity flooding.
 
-    Start scores: 1 for equal names, types and words, trigram similarity for different names, raised to the
-    share of agreeing values where two fields share entries. Each round adds, to every pair, what its
-    neighbours in the propagation graph pass on (a label's weight is split among its pairs), and normalises.
+    Start scores: 1 for equal fields, types and words, NAMES times the trigram similarity for other names, raised to
+    the share of agreeing values where two fields share entries. In each round every pair takes its start score
+    and FLOW of the mean score of its neighbours in the propagation graph, over each label, until nothing changes.
     """
-    a, b = schema_graph(old), schema_graph(new)
     by_label: dict[str, list] = {}
-    for x, label, y in b:
+    for x, label, y in schema_graph(new):
         by_label.setdefault(label, []).append((x, y))
-    sigma: dict[tuple, float] = {}
-    links: list[tuple[tuple, tuple, str]] = []
-    for x, label, y in a:
+    place: dict[tuple, int] = {}
+    links: list[tuple[int, int, str]] = []
+    for x, label, y in schema_graph(old):
         for u, v in by_label.get(label, ()):
             if label in ("type", "word") and y != v:
                 continue  # types and words match only themselves
-            links.append(((x, u), (y, v), label))
-    for p, q, _ in links:
-        for x, u in (p, q):
-            if (x, u) not in sigma:
-                start = 1.0 if x == u else name_similarity(x[-1], u[-1]) if x[0] == u[0] else 0.0
-                if x[0] == "field" and u[0] == "field":
-                    start = max(start, evidence.get((x[1], u[1]), 0.0))
-                sigma[(x, u)] = start
-    out_degree: dict[tuple, int] = {}
-    for p, q, label in links:
-        out_degree[(p, label, 0)] = out_degree.get((p, label, 0), 0) + 1
-        out_degree[(q, label, 1)] = out_degree.get((q, label, 1), 0) + 1
-    start, now = dict(sigma), dict(sigma)
-    for _ in range(MAX_ROUNDS):
-        got = {k: start[k] + now[k] for k in now}
-        for p, q, label in links:
-            got[q] += (start[p] + now[p]) / out_degree[(p, label, 0)]
-            got[p] += (start[q] + now[q]) / out_degree[(q, label, 1)]
-        top = max(got.values(), default=1.0) or 1.0
-        got = {k: v / top for k, v in got.items()}
-        change = sum((got[k] - now[k]) ** 2 for k in got) ** 0.5
-        now = got
-        if change < RESIDUAL:
-            break
-    fields = {(o, n): now.get((("field", o), ("field", n)), 0.0) for o, n in product(old, new)}
-    return fields
+            links.append((place.setdefault((x, u), len(place)), place.setdefault((y, v), len(place)), label))
+    if not links:
+        return dict.fromkeys(product(old, new), 0.0)
+
+    def begin(x: tuple, u: tuple) -> float:
+        own = 1.0 if x == u else NAMES * name_similarity(x[-1], u[-1])
+        return max(own, evidence.get((x[1], u[1]), 0.0)) if x[0] == "field" else own
+
+    start = np.array([begin(x, u) for x, u in place])
+    p, q = np.array([x[:2] for x in links]).T
+    kind = np.unique([x[2] for x in links], return_inverse=True)[1] * len(place)
+    weight = 1.0 / np.maximum(np.bincount(kind + p)[kind + p], np.bincount(kind + q)[kind + q])
+    now, change = start, 1.0
+    while change > RESIDUAL:
+        got = start + FLOW * (np.bincount(q, now[p] * weight, len(start)) + np.bincount(p, now[q] * weight, len(start)))
+        now, change = got, float(np.abs(got - now).max())
+    return {(o, n): float(now[place[("field", o), ("field", n)]]) for o, n in product(old, new)}
 
 
 def correspondences(old: Schema, new: Schema, both: dict[tuple[str, str], tuple[int, int]]) -> list[tuple[str, str, float]]:
-    """Selected (old_field, field, score) of lost with new fields: consistent, one to one, best score first.
+    """Selected (old_field, field, score) of lost with new fields: one to one, by the scores of the flooding, best first.
 
-    A pair that values contradict is not consistent; a pair whose shared values all agree precedes one
-    without shared values. Ties fall to the name order.
+    A pair that values contradict is not consistent and not selected, nor is one whose score is below LEAST. Fields
+    whose shared values all agree start with 1, which no pair without shared values can reach; among several
+    such fields names, types and nested keys decide. Ties fall to the name order.
     """
     lost, come = sorted(set(old) - set(new)), sorted(set(new) - set(old))
     if not lost or not come:
         return []
     scores = flood(old, new, {k: equal / n for k, (n, equal) in both.items() if n})
-    ranked = sorted(
-        ((-(both.get((o, n), (0, 0))[0] > 0), -scores[(o, n)], o, n) for o, n in product(lost, come) if both.get((o, n), (0, 0))[0] == both.get((o, n), (0, 0))[1]),
-    )
+    agree = lambda n, equal: n == equal
+    ranked = sorted((-scores[(o, n)], o, n) for o, n in product(lost, come) if scores[(o, n)] >= LEAST and agree(*both.get((o, n), (0, 0))))
     used_old, used_new, out = set(), set(), []
-    for _, score, o, n in ranked:
+    for score, o, n in ranked:
         if o not in used_old and n not in used_new:
             used_old.add(o)
             used_new.add(n)
@@ -232,10 +226,15 @@ def pair_changes(old: Schema, new: Schema, both: dict[tuple[str, str], tuple[int
 def changes(bags: DataFrame) -> DataFrame:
     """Every change between successive files as CHANGES; ``change`` is renamed, added, removed or retyped.
 
-    Empty input gives an empty table.
+    Empty input gives an empty table. The bags are parsed once, into a written table.
     """
-    pairs = file_pairs(bags)
-    joined = pairs.join(rename_evidence(bags, pairs), list(FILE_KEY), "left").select(*FILE_KEY, "fields", "pairs")
+    return value_changes(written(field_values(bags, keep_files=True).drop("entry"), "field-values"))
+
+
+def value_changes(held: DataFrame) -> DataFrame:
+    """``changes`` from the written ``field_values`` with their files kept."""
+    pairs = written(file_pairs(held), "file-pairs")
+    joined = pairs.join(rename_evidence(held, pairs), list(FILE_KEY), "left").select(*FILE_KEY, "fields", "pairs")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,27 +253,32 @@ def changes(bags: DataFrame) -> DataFrame:
 
 
 #: Kinds of links between two names of a section, as rows of (section, link, a, b, both, equal, chance).
-_LINK = "section string, link string, a string, b string, both bigint, equal bigint, chance double"
+_LINK = "section string, link string, a string, b string, both bigint, equal bigint, chance double, kinds array<string>, keys array<string>"
 #: By how many standard deviations (and ids besides) agreeing ids must exceed chance.
 _SURE, _MORE = 3.0, 2
 
 
-def one_name(names: dict[str, tuple[bool, int]], agree: dict[tuple[str, str], tuple[int, int, float]], renamed: set[tuple[str, str]], apart: set[tuple[str, str]]) -> dict[str, str]:
+def one_name(
+    names: dict[str, tuple[bool, int]], agree: dict[tuple[str, str], tuple[int, int, float]], renamed: set[tuple[str, str]], apart: set[tuple[str, str]], shapes: Schema | None = None
+) -> dict[str, str]:
     """The one name of each of a section's ``names`` (in the house list, number of files), over all its feeds.
 
     Two names are linked if a feed renames one to the other, or if clearly more canonical_ids have equal values
     under both than chance gives: ``agree`` has (ids with both, ids that agree, share that agrees by chance).
-    Links are taken best first, and never bring together names that stand side by side in a file (``apart``).
-    The house list's name is taken, else that of most files. Pairs are in name order.
+    Links are taken in the order of their scores, at which the flooding of the section's schema (``shapes``: types and
+    nested keys by name) with itself settles when it starts with how far the values agree beyond chance. They never
+    bring together names that stand side by side in a file (``apart``). The house list's name is taken, else that of most files. Pairs are in name order.
     """
-    ranked = []
+    sure = {}
     for a, b in sorted(set(agree) | renamed):
         both, equal, chance = agree.get((a, b), (0, 0, 0.0))
-        sure = equal - both * chance >= _MORE + _SURE * (both * chance * (1 - chance)) ** 0.5
-        if sure or (a, b) in renamed:
-            ranked.append((-(equal / both - chance) / (1 - chance + 1e-9) if both else 0.0, -name_similarity(a, b), a, b))
+        if equal - both * chance >= _MORE + _SURE * (both * chance * (1 - chance)) ** 0.5 or (a, b) in renamed:
+            sure[(a, b)] = max(0.0, (equal / both - chance) / (1 - chance + 1e-9)) if both else 0.0
+    schema = {n: (shapes or {}).get(n, (frozenset(), frozenset())) for n in {*names, *(n for pair in sure for n in pair)}}
+    scores = flood(schema, schema, sure)
+    ranked = [(-round(scores[pair], 9), *pair) for pair in sure]
     groups = {n: {n} for n in {*names, *(n for pair in renamed for n in pair)}}
-    for _, _, a, b in sorted(ranked):
+    for _, a, b in sorted(ranked):
         x, y = groups[a], groups[b]
         if x is not y and not any((min(m, n), max(m, n)) in apart for m in x for n in y):
             x |= y
@@ -291,9 +295,14 @@ def _name_links(values: DataFrame, names: DataFrame, renames: DataFrame) -> Data
     and names, not with feeds.
     """
     pair = lambda xs: F.flatten(F.transform(xs, lambda x: F.transform(F.filter(xs, lambda y: y["name"] > x["name"]), lambda y: F.struct(x.alias("x"), y.alias("y")))))
-    none = [F.lit(None).cast(t).alias(c) for c, t in (("both", "bigint"), ("equal", "bigint"), ("chance", "double"))]
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("both", "bigint"), ("equal", "bigint"), ("chance", "double"), ("kinds", "array<string>"), ("keys", "array<string>"))]
     files = names.select(*FILE_KEY, "name").distinct()
-    own = files.groupBy("section", F.col("name").alias("a")).agg(F.count("*").alias("both"), F.count_if(F.col("origin") == "reference").alias("equal")).select("section", F.lit("name").alias("link"), "a", F.lit(None).cast("string").alias("b"), "both", "equal", none[2])
+    own = files.groupBy("section", F.col("name").alias("a")).agg(F.count("*").alias("both"), F.count_if(F.col("origin") == "reference").alias("equal")).select("section", F.lit("name").alias("link"), "a", F.lit(None).cast("string").alias("b"), "both", "equal", *none[2:])
+    shape = (
+        values.join(names, [*FILE_KEY, "field"]).groupBy("section", F.col("name").alias("a"))
+        .agg(F.collect_set("kind").alias("kinds"), F.array_distinct(F.flatten(F.collect_set("keys"))).alias("keys"))
+        .select("section", F.lit("shape").alias("link"), "a", F.lit(None).cast("string").alias("b"), *none[:3], "kinds", "keys")
+    )
     beside = (
         files.groupBy(*FILE_KEY).agg(F.collect_list(F.struct("name")).alias("xs")).select("section", F.explode(pair(F.col("xs"))).alias("p"))
         .select("section", F.lit("apart").alias("link"), F.col("p.x.name").alias("a"), F.col("p.y.name").alias("b"), *none).distinct()
@@ -312,20 +321,22 @@ def _name_links(values: DataFrame, names: DataFrame, renames: DataFrame) -> Data
         .groupBy("section", F.col("p.x.name").alias("a"), F.col("p.y.name").alias("b"))
         .agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("p.x.share") * F.col("p.y.share"), F.lit(1e-12)))))).alias("chance"))
     )
-    agree = agreed.join(chance, ["section", "a", "b"], "left").select("section", F.lit("agree").alias("link"), "a", "b", "both", "equal", F.coalesce("chance", F.lit(0.0)).alias("chance"))
-    return own.unionByName(beside).unionByName(moved).unionByName(agree)
+    agree = agreed.join(chance, ["section", "a", "b"], "left").select("section", F.lit("agree").alias("link"), "a", "b", "both", "equal", F.coalesce("chance", F.lit(0.0)).alias("chance"), *none[3:])
+    return own.unionByName(shape).unionByName(beside).unionByName(moved).unionByName(agree)
 
 
 def _section_names(part):
-    names, agree, renamed, apart = {}, {}, set(), set()
-    for link, a, b, both, equal, chance in part[["link", "a", "b", "both", "equal", "chance"]].itertuples(index=False, name=None):
-        if link == "name":
+    names, agree, renamed, apart, shapes = {}, {}, set(), set(), {}
+    for link, a, b, both, equal, chance, kinds, keys in part[["link", "a", "b", "both", "equal", "chance", "kinds", "keys"]].itertuples(index=False, name=None):
+        if link == "shape":
+            shapes[a] = (frozenset(kinds), frozenset(keys))
+        elif link == "name":
             names[a] = (equal > 0, int(both))
         elif link == "agree":
             agree[(a, b)] = (int(both), int(equal), chance)
         else:
             (renamed if link == "renamed" else apart).add((a, b))
-    got = sorted(one_name(names, agree, renamed, apart).items())
+    got = sorted(one_name(names, agree, renamed, apart, shapes).items())
     return pd.DataFrame({"section": [part["section"].iloc[0]] * len(got), "name": [n for n, _ in got], "target": [t for _, t in got]})
 
 
@@ -397,16 +408,17 @@ def unified_rows(bags: DataFrame) -> DataFrame:
     already, keeps its own. Values are cast to the one type of their field (``_typed``); units and notes that the
     cast to a number leaves off are in ``remarks``. Entries without a readable bag keep a row with empty maps.
     """
-    values = cut_lineage(_with_bare(field_values(bags)))
-    renamed = cut_lineage(changes(bags).filter("change = 'renamed'"))
+    held = written(_with_bare(field_values(bags, keep_files=True)), "field-values")
+    values = held.filter("field is not null")
+    renamed = written(value_changes(held).filter("change = 'renamed'"), "renamed")
     renames = renamed.groupBy("origin", "feed", "section").agg(F.array_sort(F.collect_list(F.struct("file_no", "old_field", "field"))).alias("renames"))
     folded = F.expr("coalesce(aggregate(renames, field, (acc, r) -> if(r.file_no > file_no and r.old_field = acc, r.field, acc)), field)")
     fields = values.select(*FILE_KEY, "field").distinct().join(renames, ["origin", "feed", "section"], "left").select(*FILE_KEY, "field", folded.alias("name"))
-    fields = cut_lineage(_alone(fields))
+    fields = written(_alone(fields), "field-names")
     links = _name_links(values, fields, renamed)
     targets = links.groupBy("section").applyInPandas(_section_names, "section string, name string, target string")
     final = _alone(fields.join(targets, ["section", "name"]).select(*FILE_KEY, "field", F.col("target").alias("name")))
-    typed = _typed(cut_lineage(values.join(final, [*FILE_KEY, "field"])))
+    typed = _typed(written(values.join(final, [*FILE_KEY, "field"]), "named-values"))
     bag = typed.groupBy(*FILE_KEY, "entry").agg(F.collect_list(F.struct("name", "text")).alias("pairs"), F.collect_list(F.when(F.col("remark").isNotNull(), F.struct("name", "remark"))).alias("notes"))
     keyed = bag.select(*FILE_KEY, "entry", F.map_from_entries("pairs").alias("properties"), F.map_from_entries("notes").alias("remarks"))
     none = F.expr("cast(map() as map<string,string>)")

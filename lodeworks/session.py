@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -40,8 +42,8 @@ def find_on_workers(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and staged tables.
 
-    It is the session's ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a
-    temporary folder of this machine is made, once for each session, and set.
+    It is the session's ``spark.checkpoint.dir``. Where that is unset, a session on this machine alone (tests, a
+    laptop) gets a temporary folder, once, and on a cluster it is an error: its machines share no such folder.
     """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
@@ -52,6 +54,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if not current.isEmpty():
         return current.get()
+    if not sc.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir is not set; on a cluster it must name a folder that all machines share")
     made = "file://" + tempfile.mkdtemp(prefix="lodeworks-checkpoint-")
     sc.setCheckpointDir(made)
     return made
@@ -63,6 +67,44 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+_STAGED: dict[str, SparkSession] = {}
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, read again: cuts the lineage and outlives executors.
+
+    What is not removed by ``dropped`` before is removed when Python ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid4().hex}"
+    _STAGED[path] = spark
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Remove tables that ``written`` made and that nothing reads any more."""
+    held = {f.rsplit("/", 1)[0].split(":", 1)[-1].lstrip("/") for t in tables for f in t.inputFiles()}
+    for path in [p for p in _STAGED if p.split(":", 1)[-1].lstrip("/") in held]:
+        _remove(path, _STAGED.pop(path))
+
+
+def _remove(path: str, spark: SparkSession) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
+@atexit.register
+def _remove_staged() -> None:
+    while _STAGED:
+        path, spark = _STAGED.popitem()
+        try:
+            if spark.sparkContext._jsc is not None:
+                _remove(path, spark)
+        except Exception:  # the session ended before: its folder is all that is left
+            continue
+
+
 class TooLarge(ValueError):
     """A side that must stay small exceeded its documented bound."""
 

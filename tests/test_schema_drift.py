@@ -121,3 +121,26 @@ def test_names_side_by_side_stay_apart():
     agree = {("a", "b"): (50, 50, 0.1), ("b", "c"): (50, 40, 0.1), ("a", "c"): (50, 6, 0.1)}
     assert S.one_name(names, agree, set(), {("a", "b")}) == {"a": "a", "b": "c", "c": "c"}
     assert S.one_name(names, {}, {("a", "b"), ("b", "c")}, set()) == {"a": "c", "b": "c", "c": "c"}
+
+
+def test_flooding_decides_between_fields_that_agree_equally(monkeypatch):
+    f = frozenset
+    text, number, bag = (f({"string"}), f()), (f({"number"}), f()), (f({"object"}), f({"low", "high"}))
+    old = {"density_kg": number, "limits": bag, "kept": text}
+    new = {"density_kg_m3": number, "a_copy": number, "span": bag, "b_copy": (f({"object"}), f({"zz", "y"})), "kept": text}
+    both = {("density_kg", "density_kg_m3"): (4, 4), ("density_kg", "a_copy"): (4, 4), ("limits", "span"): (3, 3), ("limits", "b_copy"): (3, 3)}
+    got = S.pair_changes(old, new, both)
+    assert [(n, c, o) for n, c, o, _ in got] == [("a_copy", "added", ""), ("b_copy", "added", ""), ("density_kg_m3", "renamed", "density_kg"), ("span", "renamed", "limits")]
+    # a name alike without shared values never outdoes agreeing values
+    decoy = {"density_kg_": number, "rho": number, "kept": text}
+    assert ("rho", "renamed", "density_kg") in [c[:3] for c in S.pair_changes({"density_kg": number, "kept": text}, decoy, {("density_kg", "rho"): (1, 1)})]
+    monkeypatch.setattr(S, "flood", lambda o, n, e: {(a, b): 0.0 for a in o for b in n})
+    assert not [c for c in S.pair_changes(old, new, both) if c[1] == "renamed"]
+
+
+def test_flooding_settles_on_large_schemas():
+    f = frozenset
+    wide = lambda tag: {f"{tag}_part_{i}": (f({"object"} if i % 3 else {"number", "string"}), f({f"k{j}" for j in range(i % 5)})) for i in range(60)}
+    got = S.flood(wide("old"), wide("new"), {("old_part_7", "new_part_9"): 1.0})
+    assert max(got, key=got.get) == ("old_part_7", "new_part_9") and 0 < min(got.values()) and max(got.values()) < 2
+    assert S.flood({}, wide("x"), {}) == {}
