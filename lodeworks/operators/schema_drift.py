@@ -45,7 +45,7 @@ def pack_bags(packs: DataFrame) -> DataFrame:
 def _bags(df: DataFrame, origin: str, feed: Column, file_no: Column, entry: Column) -> DataFrame:
     return df.select(
         F.lit(origin).alias("origin"), feed.alias("feed"), F.col("section"), file_no.cast("int").alias("file_no"),
-        entry.alias("entry"), "canonical_id", F.try_parse_json("properties").alias("bag"),
+        entry.alias("entry"), "canonical_id", F.when(F.col("properties").rlike(r"^\s*\{"), F.try_parse_json("properties")).alias("bag"),
     )
 
 
@@ -56,14 +56,15 @@ def field_values(bags: DataFrame, keep_files: bool = False) -> DataFrame:
     numbers in plain form. Bags that are null, no JSON or no object give no row; with ``keep_files`` they give
     one with a null field, which marks that the file exists.
     """
-    bag = F.when(F.schema_of_variant("bag").startswith("OBJECT"), F.col("bag"))
-    exploded = bags.withColumn("bag", bag).lateralJoin(bags.sparkSession.tvf.variant_explode_outer(F.col("bag").outer()))
-    shape = F.schema_of_variant("value")
+    exploded = (
+        bags.lateralJoin(bags.sparkSession.tvf.variant_explode_outer(F.col("bag").outer()))
+        .select(*FILE_KEY, "entry", "canonical_id", "key", F.schema_of_variant("value").alias("shape"), F.to_json("value").alias("text"))
+    )
+    shape, text = F.col("shape"), F.col("text")
     kind = (
         F.when(shape.startswith("OBJECT"), "object").when(shape.startswith("ARRAY"), "array").when(shape == "STRING", "string")
         .when(shape == "BOOLEAN", "boolean").when(shape != "VOID", "number")
     )
-    text = F.to_json("value")
     plain = F.when(kind == "number", F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")).otherwise(text)
     keys = F.when(kind == "object", F.json_object_keys(text))
     out = exploded.select(*FILE_KEY, "entry", "canonical_id", F.when(kind.isNotNull(), F.col("key")).alias("field"), kind.alias("kind"), plain.alias("value"), keys.alias("keys"))
