@@ -115,3 +115,25 @@ def test_flat_tables_keep_whole_records(spark, tmp_path):
         "finding_observation": [(1, 0, 0, True), (1, 0, 2, False)],
     }
     assert all(t.count() == 0 for t in nested.write_flat_tables(df.limit(0), str(tmp_path / "none")).values())
+
+
+@pytest.mark.parametrize("text,items", [
+    ("(HALR110), (Dorsk 7)", ["HALR110", "Dorsk 7"]), ("{HALR110; Dorsk 7}", ["HALR110", "Dorsk 7"]), ("[(HALR110 / Dorsk 7), {Polmar & Vale 7}] and Brubin F/S 60", ["HALR110", "Dorsk 7", "Polmar & Vale 7", "Brubin F/S 60"]),
+    ("(HALR110, Dorsk 7", ["HALR110", "Dorsk 7"]), ("HALR110), Dorsk 7", ["HALR110", "Dorsk 7"]), ("[HALR110; (Dorsk 7]", ["HALR110", "Dorsk 7"]), ("(a (b) c), HALR110", ["a (b) c", "HALR110"]), ("rig (old); HALR110", ["rig (old)", "HALR110"]),
+    ("HALR110 und Dorsk 7", ["HALR110", "Dorsk 7"]), ("HALR110 et Dorsk 7 и Brubin F/S 60", ["HALR110", "Dorsk 7", "Brubin F/S 60"]), ("((()))", []), ("([{" * 50 + "HALR110" + ")]}" * 3, ["HALR110"]), ("'(HALR110)', Dorsk 7", ["(HALR110)", "Dorsk 7"]),
+])
+def test_brackets_and_words_between_items(text, items):
+    got = Grammar(NAMES).parse(text)
+    assert [p.item for p in got] == items
+
+
+def test_deep_and_long_marks_end():
+    g = Grammar(NAMES)
+    assert [p.item for p in g.parse("(" * 5000 + "HALR110" + ")" * 5000 + ", Dorsk 7")] == ["HALR110", "Dorsk 7"]
+    assert [p.item for p in g.parse("(" * 20000 + "HALR110" + "}" * 20000)] == ["HALR110"]
+    assert [p.item for p in g.parse("({[" * 3000 + "x")] == ["x"]
+
+
+def test_broken_marks_are_flagged():
+    got = Grammar(NAMES).parse("(HALR110, Dorsk 7; x")
+    assert [(p.item, p.listed, p.broken) for p in got] == [("HALR110", True, True), ("Dorsk 7", True, False), ("x", False, False)]
