@@ -122,13 +122,14 @@ def _lowered() -> dict[str, list]:
 
 
 def _combine(parts: list[tuple[list, int]], factor: float) -> list[Reading]:
-    found = [(factor, 0.0, (0,) * 6, frozenset())]
+    """All distinct readings of a product. Equal intermediate ones are one, so they do not multiply with its length."""
+    found = {(factor, 0.0, (0,) * 6, frozenset()): None}
     for options, power in parts:
-        found = [
-            (s * scale**power, off + (o if len(parts) == 1 and power == 1 else 0.0), tuple(a + b * power for a, b in zip(d, dim, strict=True)), names | {base})
+        found = {
+            (float(f"{s * scale**power:.12g}"), off + (o if len(parts) == 1 and power == 1 else 0.0), tuple(a + b * power for a, b in zip(d, dim, strict=True)), names | {base}): None
             for s, off, d, names in found
             for base, scale, o, dim in options
-        ][:64]
+        }
     return [Reading(*f) for f in found]
 
 
@@ -232,9 +233,12 @@ class UnitList:
             if not _may_start(text[slice(*spans[i])]):
                 i += 1
                 continue
-            for j in range(min(i + 5, len(spans)), i, -1):
+            last = i + 1  # the run of words that can belong to one expression
+            while last < len(spans) and _may_follow(text[slice(*spans[last])], text[slice(*spans[last - 1])]) and not _BREAK.search(text, spans[i][0], spans[last][1]):
+                last += 1
+            for j in range(last, i, -1):
                 span = text[spans[i][0] : spans[j - 1][1]]
-                code = None if _NUMBER.fullmatch(span) or len(span) > 40 or _BREAK.search(span) else self.code_of(span.rstrip(",;:"))
+                code = None if _NUMBER.fullmatch(span) or _BREAK.search(span) else self.code_of(span.rstrip(",;:"))
                 if code:
                     out.append(code)
                     i = j
@@ -261,6 +265,21 @@ def _may_start(word: str) -> bool:
     return bool(term) and bool(_symbol_readings(term[2], True) or _symbol_readings(term[2], False) or len(term[2]) == 1)
 
 
+@lru_cache(100_000)
+def _may_follow(word: str, before: str) -> bool:
+    """False for words that cannot stand within a unit expression after ``before``. A number stands only after a few words."""
+    plain = word.strip("[]().,;:").translate(_SUPER)
+    if not plain or plain[0] in "/·⋅*×.-^":
+        return True
+    if _NUMBER.fullmatch(plain):
+        return before.lower().rstrip("*^") in ("", "hv", "of")
+    if _FILLERS.fullmatch(plain) or _OPENERS.match(plain):
+        return True
+    term = _TERM.match(plain)
+    return bool(term) and bool(_symbol_readings(term[2], True) or _symbol_readings(term[2], False) or len(term[2]) == 1)
+
+
+_FILLERS = re.compile(r"cent|million|of|one|celsius|fahrenheit|kelvin|force", re.IGNORECASE)
 _OPENERS = re.compile(r"(?:per|parts?|deg|degrees?|hv|iacs|square|sq|cubic|cu|micro|[mp]\.|kgm|gcm|kpsi|pounds?)", re.IGNORECASE)
 _WORD = re.compile(r"[+-]?\d+(?:[.,]\d+)?(?:[eE][+-]?\d+)?(?:\s*\^\s*\d+)?|\[[^\]\s]{1,12}\]|%|[^\s\d,;%\[\]][^\s,;%\[\]]*")
 _BREAK = re.compile(r"[,;:]\s|\.\s")

@@ -113,7 +113,7 @@ def bounded_rows(df: DataFrame, limit: int, what: str) -> list[Row]:
     """Collect a side that is small by contract; more than ``limit`` rows raise instead of being cut."""
     rows = df.limit(limit + 1).collect()
     if len(rows) > limit:
-        raise TooLarge(f"{what} has more than {limit} rows; raise the bound or use the shuffled form")
+        raise TooLarge(f"{what} has more than {limit} rows, the bound that this operator documents for it")
     return rows
 
 

@@ -137,3 +137,13 @@ def test_deep_and_long_marks_end():
 def test_broken_marks_are_flagged():
     got = Grammar(NAMES).parse("(HALR110, Dorsk 7; x")
     assert [(p.item, p.listed, p.broken) for p in got] == [("HALR110", True, True), ("Dorsk 7", True, False), ("x", False, False)]
+
+
+def test_long_unit_expressions_and_texts():
+    u = UnitList(UNITS)
+    # more than five words, more than forty characters, and products with many readings
+    assert u.mentions("given in newton per square millimetre metre per metre metre per metre") == ["N/mm2"]
+    assert u.named_in("density, kilogram    per    cubic      metre                       only", "density") == "kg/m3"
+    assert u.code_of("m / m * " * 30 + "MPa") == "MPa"
+    long = "no unit 1 2 3 4 5 of the run " * 3000 + "53 ksi"
+    assert u.mentions(long) == ["ksi"]
