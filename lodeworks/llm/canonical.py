@@ -14,7 +14,7 @@ import re
 import unicodedata
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,6 +26,8 @@ from lodeworks.session import bounded_rows, small_side
 MAX_ENTRIES = 200_000
 #: Least share of an entry's weight that the repaired tokens must cover, and shortest abbreviation.
 LEAST_COVER, LEAST_PREFIX = 0.6, 4
+#: Length up to which words are found by their deletions; longer ones are compared with the words of nearly their length.
+LONG = 40
 UNMATCHED = "unmatched"
 
 #: Cyrillic letters in Latin writing; letters that look alike in both scripts. Fixed values.
@@ -111,8 +113,11 @@ class Matcher:
                     self.holders.setdefault((t, number), []).append(i)
         self.words = sorted(t for t in frequency if not any(map(str.isdigit, t)))
         self.near: dict[str, list[str]] = {}
+        self.long: dict[int, list[str]] = {}  # by length: too many deletions to index, compared one by one
         for w in self.words:
-            if allowed(len(w)):
+            if len(w) > LONG:
+                self.long.setdefault(len(w), []).append(w)
+            elif allowed(len(w)):
                 for d in _deletions(w, allowed(len(w))):
                     self.near.setdefault(d, []).append(w)
         self._repairs: dict[str, list[tuple[str, float]]] = {}
@@ -133,13 +138,14 @@ class Matcher:
 
     def _repair(self, token: str) -> list[tuple[str, float]]:
         best: dict[str, float] = {}
-        if 4 < len(token) <= 40:
-            for d in _deletions(token, min(3, allowed(len(token) + 1))):
-                for w in self.near.get(d, ()):
-                    if w not in best:
-                        most = min(allowed(len(w)), allowed(len(token) + 1))
-                        e = edits(token, w, most)
-                        best[w] = 1 - e / max(len(w), len(token)) if e <= most else 0.0
+        if len(token) > 4:
+            # no word of the index is longer than LONG, and no token with more than three letters over that is near one
+            near = [w for d in _deletions(token, min(3, allowed(len(token) + 1))) for w in self.near.get(d, ())] if len(token) <= LONG + 3 else []
+            for w in chain(near, *(self.long.get(len(token) + k, ()) for k in range(-3, 4))):
+                if w not in best:
+                    most = min(allowed(len(w)), allowed(len(token) + 1))
+                    e = edits(token, w, most)
+                    best[w] = 1 - e / max(len(w), len(token)) if e <= most else 0.0
         if len(token) >= LEAST_PREFIX:
             i = bisect_left(self.words, token)
             while i < len(self.words) and self.words[i].startswith(token):

@@ -12,16 +12,14 @@ compared outside of that traversal. What remains is verified on the words themse
 
 from __future__ import annotations
 
-import atexit
 from collections.abc import Iterator
-from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeworks.session import shared_dir
+from lodeworks.session import dropped, written
 
 #: Least similarity as a fraction: 7 / 10.
 NUM, DEN = 7, 10
@@ -394,44 +392,6 @@ def similar_pairs(records: DataFrame, num: int = NUM, den: int = DEN) -> DataFra
     return both.filter(agree).select("a", "b", *(F.col(f"{x}.{c}").alias(f"{c}_{side}") for x, side in (("x", "a"), ("y", "b")) for c in ("first", "last")))
 
 
-_STAGED: dict[str, SparkSession] = {}
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder, read again: cuts the lineage and outlives executors.
-
-    What is not removed by ``dropped`` before is removed when Python ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid4().hex}"
-    _STAGED[path] = spark
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.parquet(path)
-
-
-def dropped(*tables: DataFrame) -> None:
-    """Remove tables that ``written`` made and that nothing reads any more."""
-    held = {f.rsplit("/", 1)[0].split(":", 1)[-1].lstrip("/") for t in tables for f in t.inputFiles()}
-    for path in [p for p in _STAGED if p.split(":", 1)[-1].lstrip("/") in held]:
-        _remove(path, _STAGED.pop(path))
-
-
-def _remove(path: str, spark: SparkSession) -> None:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
-
-
-@atexit.register
-def _remove_staged() -> None:
-    while _STAGED:
-        path, spark = _STAGED.popitem()
-        try:
-            if spark.sparkContext._jsc is not None:
-                _remove(path, spark)
-        except Exception:  # the session ended before: its folder is all that is left
-            continue
-
-
 def within_classes(members: DataFrame, block: int = BLOCK) -> DataFrame:
     """(a_id, b_id) with a_id < b_id: all pairs of ids of one class of ``members`` (rid, id).
 

@@ -31,25 +31,35 @@ def pieces_of(size: int, capacity: int) -> list[int]:
 def best_fit(items: list[tuple[int, int, int, object, object]], capacity: int = CAPACITY) -> list[tuple[int, int, int, int]]:
     """Pack (doc_id, piece, size, cluster, source) items; gives (container, doc_id, piece, size).
 
-    Two items of one cluster never share a container, with one exception: a cluster with more members than
-    half of the containers that the shard needs at least is not kept apart, as that would leave most of
-    its containers empty. Among equally tight compatible containers one without the item's source is
+    A cluster's members are kept apart as far as the least possible number of containers allows: none holds more of
+    them than members / containers, rounded up. That is one, so copies never share a container, for every cluster
+    with no more members than there must be containers; a larger one is dealt into so many parts, each kept apart.
+    The members of clusters that need a good part of all containers go first, as they fit in the fewest places.
+    Among equally tight compatible containers one without the item's source is
     preferred; the open containers of a rest are kept by their source bitmap, so one is found wherever it is.
     A null cluster or source conflicts with nothing. Items larger than the capacity are an error.
     """
-    least = -(-sum(i[2] for i in items) // capacity)
+    least = max(1, -(-sum(i[2] for i in items) // capacity))
     members: dict[object, int] = defaultdict(int)
     for i in items:
         members[i[3]] += 1
-    apart = {c: k for k, c in enumerate(sorted((c for c, n in members.items() if c is not None and 1 < n <= max(2, least // 2)), key=str))}
+    apart, bits = {}, 0  # first bit and number of parts of each cluster
+    for c in sorted((c for c, n in members.items() if c is not None and n > 1), key=str):
+        apart[c] = (bits, -(-members[c] // least))
+        bits += apart[c][1]
+    met: dict[object, int] = defaultdict(int)
     sources = {s: k for k, s in enumerate(sorted({i[4] for i in items if i[4] is not None}, key=str))}
     open_by_rest: list[dict[int, list[int]]] = [{} for _ in range(capacity + 1)]  # by source bitmap
     rests, clusters_in, sources_in = 0, [], []  # rests: bit r is set where a container with r tokens left is open
     out = []
-    for doc, piece, size, cluster, source in sorted(items, key=lambda i: (-i[2], i[0], i[1])):
+    for doc, piece, size, cluster, source in sorted(items, key=lambda i: (-(4 * members[i[3]] // least) if i[3] in apart else 0, -i[2], i[0], i[1])):
         if size > capacity:
             raise ValueError(f"an item of {size} tokens exceeds the capacity of {capacity}")
-        own = 1 << apart[cluster] if cluster in apart else 0
+        own = 0
+        if cluster in apart:
+            first, parts = apart[cluster]
+            own = 1 << (first + met[cluster] % parts)
+            met[cluster] += 1
         where = 1 << sources[source] if source is not None else 0
         ahead, chosen, rest = rests >> size, None, size
         while ahead:
@@ -83,8 +93,8 @@ def best_fit(items: list[tuple[int, int, int, object, object]], capacity: int =
 
 
 def duplicate_cluster(documents: DataFrame) -> Column:
-    """What makes two rows copies of each other: the same document_id or, without one, the same text."""
-    return F.coalesce("document_id", F.hex(F.xxhash64("text")))
+    """What makes two rows copies of each other: the same document_id or, where that is null or blank, the same text."""
+    return F.coalesce(F.when(F.trim("document_id") != "", F.col("document_id")), F.hex(F.xxhash64("text")))
 
 
 def packed(documents: DataFrame, capacity: int = CAPACITY, shard_texts: int = SHARD_TEXTS) -> DataFrame:

@@ -53,3 +53,11 @@ def test_over_tables_with_hot_text_and_nulls(spark):
     assert got == {**{("r", i): "a" for i in range(300)}, ("e", 902): C.UNMATCHED, ("e", 904): C.UNMATCHED}
     assert C.mapped(values.limit(0), names).count() == 0
     assert {r.canonical_id for r in C.mapped(values, names.limit(0)).collect()} == {C.UNMATCHED}
+
+
+def test_long_words_are_repaired_too():
+    long = "Poly" + "methyl" * 12 + "acrylat"
+    m = C.Matcher([*ENTRIES, (f"{long} 12", "z"), ("Tetrahydrofurfurylmethacrylatdimethylsiloxan 9", "y")])
+    assert m.match(f"{long[:30]}{long[31:]} 12")[0] == "z" and m.match(f"{long}e 12")[0] == "z"
+    assert m.match("Tetrahydrofurfurylmethacrylatdimethylsiloxn 9")[0] == "y"
+    assert m.match("x" * 5000 + " 12")[0] == C.UNMATCHED

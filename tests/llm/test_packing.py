@@ -90,3 +90,24 @@ def test_source_is_preferred_apart_among_many_equals():
     items = [(i, 0, 60, None, "y" if i == 0 else "x") for i in range(101)] + [(200, 0, 40, None, "x"), (201, 0, 40, None, "y")]
     where = {d: c for c, d, _, _ in P.best_fit(items, 100)}
     assert where[200] == where[0] and where[201] != where[0]
+
+
+@pytest.mark.parametrize("share,n", [(3, 3000), (2, 800), (20, 4000)])
+def test_hot_clusters_are_spread_evenly(share, n):
+    rnd = random.Random(n)
+    items = [(i, 0, rnd.randint(20, 400), "hot" if i % share == 0 else i // 2, rnd.choice("ab")) for i in range(n)]
+    out = P.best_fit(items, 1000)
+    held = check(items, out, 1000)
+    least = -(-sum(i[2] for i in items) // 1000)
+    cluster, seen = {i[0]: i[3] for i in items}, {}
+    for c, d, _, _ in out:
+        seen[(c, cluster[d])] = seen.get((c, cluster[d]), 0) + 1
+    hot = sum(i[3] == "hot" for i in items)
+    assert max(v for (_, k), v in seen.items() if k == "hot") <= -(-hot // least)
+    assert all(v == 1 for (_, k), v in seen.items() if k != "hot")
+    assert len(held) <= least * 1.05 + 1
+
+
+def test_blank_document_ids_make_no_cluster(spark):
+    df = spark.createDataFrame([(i, " " if i % 2 else None, "s", f"text {i} " * 30) for i in range(60)], "doc_id bigint, document_id string, source string, text string")
+    assert df.select(P.duplicate_cluster(df)).distinct().count() == 60
