@@ -61,5 +61,10 @@ def p10_stats(spark: SparkSession, folder: str) -> DataFrame:
     return _quality(spark, folder)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p4_found, p4_groups, p7_found, p7_unmatched, p8_ids, p9_containers, p9_fill, p10_found, p10_stats)}
+def p10_holdout(spark: SparkSession, folder: str) -> DataFrame:
+    """How many of the held-out hand-checked labels the forms meet."""
+    return quality.holdout(_quality(spark, folder), table(spark, folder, "labels"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p4_found, p4_groups, p7_found, p7_unmatched, p8_ids, p9_containers, p9_fill, p10_found, p10_stats, p10_holdout)}
 ORACLE: dict[str, str] = {}

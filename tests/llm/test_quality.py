@@ -61,3 +61,24 @@ def test_edges_over_tables(spark):
     got = {r.doc_id: r.form for r in Q.text_quality(docs.drop("form"), labels, words).collect()}
     assert got == {1: None, 2: None, 3: None, 4: "prose"}
     assert Q.text_quality(docs.limit(0), labels.limit(0), words.limit(0)).count() == 0
+
+
+def test_labels_held_out_from_everything(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels, words = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels", "common_words"))
+    rows = Q.holdout(Q.text_quality(docs, labels, words), labels).collect()
+    n, hits = sum(r.n for r in rows), sum(r.hits for r in rows)
+    assert n > 100 and hits / n > 0.97 and {r.form for r in rows} == set(Q.FORMS)
+    # calibrated: the mean probability is near the share of hits
+    assert abs(sum(r.mean_probability * r.n for r in rows) / n - hits / n) < 0.03
+
+
+def test_no_labelled_document_trains_the_trees(spark, monkeypatch):
+    text = "The rod was in the bath and it was not moved."
+    docs = spark.createDataFrame([(i, text) for i in range(40)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, "prose") for i in range(30)], "doc_id bigint, form string")
+    got = {}
+    monkeypatch.setattr(Q, "fit_model", lambda weak, hand: got.update(weak=len(weak), hand=len(hand)))
+    Q.train(docs, labels, COMMON)
+    left = labels.filter(~Q.held_out("doc_id")).count()
+    assert got == {"weak": 10, "hand": left} and 0 < left < 30
