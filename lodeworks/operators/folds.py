@@ -12,39 +12,45 @@ def _order(df: DataFrame) -> Column:
     return F.struct(*[c for c in ("seq", "part") if c in df.columns])
 
 
-def merged_bag(bag: str, order: Column) -> Column:
-    """Aggregate: right-wins union of bags in order of arrival."""
-    none = F.expr(f"cast(map() as {MAP})")
-    held = F.array_sort(F.collect_list(F.struct(order.alias("o"), F.map_entries(F.coalesce(F.col(bag), none)).alias("e"))))
-    entries = F.flatten(F.transform(held, lambda x: x["e"]))
-    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
-    return F.map_from_entries(F.transform(keys, lambda k: F.struct(k, F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"])))
+def _folded(rows: DataFrame, last: dict[str, Column], sets: tuple[str, ...], bag: str) -> DataFrame:
+    """Rows by ``id``: the aggregates ``last``, distinct sorted values of the arrays ``sets``, right-wins union of ``bag``.
 
-
-def union_of(column: str) -> Column:
-    """Aggregate: distinct values of arrays, sorted, null left out."""
-    return F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.coalesce(F.col(column), F.array().cast("array<string>"))))))
+    Elements and bag entries are reduced by (id, element) before they are assembled, so what meets in one task is the
+    result of an id and not all of its records.
+    """
+    o = _order(rows)
+    none = F.lit(None).cast("string")
+    element = lambda c: lambda x: F.struct(F.lit(c).alias("of"), x.alias("key"), none.alias("value"))
+    held = [F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), element(c)) for c in sets]
+    held.append(F.transform(F.map_entries(F.coalesce(F.col(bag), F.expr(f"cast(map() as {MAP})"))), lambda e: F.struct(F.lit(bag).alias("of"), e["key"].alias("key"), e["value"].alias("value"))))
+    parts = rows.select("id", o.alias("_o"), F.explode(F.concat(*held)).alias("x")).filter("x.key is not null")
+    each = parts.groupBy("id", "x.of", "x.key").agg(F.max_by("x.value", "_o").alias("value"))
+    whole = each.groupBy("id").agg(
+        *[F.array_sort(F.collect_list(F.when(F.col("of") == c, F.col("key")))).alias(c) for c in sets],
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("of") == bag, F.struct("key", "value"))))).alias(bag),
+    )
+    scalars = rows.groupBy("id").agg(*[c.alias(n) for n, c in last.items()])
+    empty = {**{c: F.array().cast("array<string>") for c in sets}, bag: F.expr(f"cast(map() as {MAP})")}
+    return scalars.join(whole, "id", "left").withColumns({c: F.coalesce(F.col(c), e) for c, e in empty.items()})
 
 
 def fold_entities(rows: DataFrame) -> DataFrame:
     """Entities by id: last name; aliases and source references united; right-wins properties; largest
     confidence; the first kind, creation time and place; the last update time."""
     o = _order(rows)
-    return rows.groupBy("id").agg(
-        F.min_by("kind", o).alias("kind"), F.max_by("canonical_name", o).alias("canonical_name"), union_of("aliases").alias("aliases"),
-        merged_bag("properties", o).alias("properties"), union_of("source_refs").alias("source_refs"), F.max("confidence").alias("confidence"),
-        F.min_by("created_at", o).alias("created_at"), F.max_by("updated_at", o).alias("updated_at"), F.min("seq").alias("seq"),
-    )
+    last = {
+        "kind": F.min_by("kind", o), "canonical_name": F.max_by("canonical_name", o), "confidence": F.max("confidence"), "created_at": F.min_by("created_at", o),
+        "updated_at": F.max_by("updated_at", o), "seq": F.min("seq"),
+    }
+    return _folded(rows, last, ("aliases", "source_refs"), "properties").select("id", "kind", "canonical_name", "aliases", "properties", "source_refs", "confidence", "created_at", "updated_at", "seq")
 
 
 def fold_relations(rows: DataFrame) -> DataFrame:
     """Relations by id: evidence united, right-wins properties, largest confidence, first place."""
     o = _order(rows)
-    return rows.groupBy("id").agg(
-        F.min_by("relation_type", o).alias("relation_type"), F.min_by("source_entity_id", o).alias("source_entity_id"), F.min_by("target_entity_id", o).alias("target_entity_id"),
-        union_of("evidence_ids").alias("evidence_ids"), merged_bag("properties", o).alias("properties"), F.max("confidence").alias("confidence"),
-        F.min_by("created_at", o).alias("created_at"), F.max_by("updated_at", o).alias("updated_at"), F.min("seq").alias("seq"),
-    )
+    ends = ("relation_type", "source_entity_id", "target_entity_id")
+    last = {**{c: F.min_by(c, o) for c in ends}, "confidence": F.max("confidence"), "created_at": F.min_by("created_at", o), "updated_at": F.max_by("updated_at", o), "seq": F.min("seq")}
+    return _folded(rows, last, ("evidence_ids",), "properties").select("id", *ends, "evidence_ids", "properties", "confidence", "created_at", "updated_at", "seq")
 
 
 def last_wins(rows: DataFrame, key: str = "id") -> DataFrame:

@@ -10,12 +10,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodeworks.functions.expr import MAP, filled, merge_maps, norm_name, python_float, stable_id
 from lodeworks.operators.folds import FOLDS
 from lodeworks.operators.resolve import canonicalise
 from lodeworks.schema import Graph
-from lodeworks.session import cut_lineage
+from lodeworks.session import cut_lineage, small_side, written
 
 _NO_LIST, _NO_BAG = "cast(array() as array<string>)", f"cast(map() as {MAP})"
 #: Room for the mentions of one input between two inputs' places.
@@ -28,17 +29,24 @@ class Batch:
 
     rows: dict[str, DataFrame]
 
-    def fold_into(self, graph: Graph) -> Graph:
-        """The graph with the batch folded in; one shuffle a touched table, on its key."""
+    def fold_into(self, graph: Graph, whole: Graph | None = None) -> Graph:
+        """The graph with the batch folded in; one shuffle a touched table, on its key.
+
+        Places go on behind the last one of ``whole``, of which ``graph`` may hold only the rows of touched buckets.
+        """
         out = {}
         for name, new in self.rows.items():
             old = graph.tables()[name]
-            last = old.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("last"))
+            last = (whole or graph).tables()[name].agg(F.coalesce(F.max("seq"), F.lit(0)).alias("last"))
             placed = new.crossJoin(F.broadcast(last)).withColumn("seq", F.col("seq") + F.col("last") + 1).drop("last")
             parted = old.withColumn("part", F.lit(0)).unionByName(placed.withColumn("part", F.lit(1)), allowMissingColumns=True)
             out[name] = FOLDS[name](parted)
         return graph.with_tables(**out)
 
+    def written(self) -> Batch:
+        """The batch with its rows written once, as several jobs read them."""
+        return Batch({name: written(rows, f"batch-{name}") for name, rows in self.rows.items()})
+
 
 def _now(at: str | None) -> Column:
     return F.lit(at).cast("timestamp") if at else F.current_timestamp()
@@ -47,13 +55,17 @@ def _now(at: str | None) -> Column:
 def numbered(inputs: DataFrame, *order: str) -> DataFrame:
     """``inputs`` with ``seq``: their place by file path and position (or the given columns).
 
-    The rank is taken within range partitions and shifted by the partitions before, so no task holds all rows.
+    Rows are numbered within range partitions and shifted by the rows of the partitions before, so no task holds
+    all rows and places have no gaps. The sorted rows are written first: two sorts may draw other ranges.
     """
     cols = [c for c in (order or ("path", "pos")) if c in inputs.columns]
     ranged = inputs.repartitionByRange(*cols).sortWithinPartitions(*cols) if cols else inputs
-    marked = ranged.withColumn("_m", F.monotonically_increasing_id())
-    # partition number in the upper bits, row number in the lower 33: order-preserving and unique
-    return marked.withColumn("seq", F.shiftright("_m", 33) * F.lit(1 << 24) + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).drop("_m")
+    marked = written(ranged.withColumn("_m", F.monotonically_increasing_id()).withColumn("_p", F.shiftright("_m", 33)), "numbered")
+    sizes = marked.groupBy("_p").agg(F.count("*").alias("_n"))  # as many rows as partitions
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = small_side(sizes.select("_p", before.alias("_before")), 1_000_000)
+    place = F.col("_before") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    return marked.join(offsets, "_p").withColumn("seq", place).drop("_m", "_p", "_before")
 
 
 def reference_batch(entities: DataFrame | None, rules: DataFrame | None, at: str | None = None) -> Batch:

@@ -41,9 +41,22 @@ def _row(section: Column, pos: Column, record: Column) -> list[Column]:
     return [F.col("path"), F.col("file_name"), F.col("suffix"), section.alias("section"), pos.cast("bigint").alias("pos"), record.cast(MAP).alias("record")]
 
 
-def json_records(files: DataFrame) -> DataFrame:
-    """Records of ``json`` files: an array's elements, the sections of an object, or the object itself."""
+def _checked(files: DataFrame) -> DataFrame:
+    """``files`` whose text is an array or object of JSON; any other, broken or blank, raises and names the file.
+
+    Files of no bytes at all are not listed by the reader.
+    """
+    sound = F.coalesce(F.schema_of_variant(F.try_parse_json("t")).rlike("^(ARRAY|OBJECT)"), F.lit(False))
+    return files.withColumn("t", F.when(sound, F.col("t")).otherwise(F.raise_error(F.concat(F.lit("no JSON array or object in "), F.col("path")))))
+
+
+def json_records(files: DataFrame, failfast: bool = True) -> DataFrame:
+    """Records of ``json`` files: an array's elements, the sections of an object, or the object itself.
+
+    A file that is broken, or holds neither array nor object, fails the read, or is left out where ``failfast`` is off.
+    """
     own = files.filter(F.col("suffix") == "json").withColumn("t", F.trim("text"))
+    own = _checked(own) if failfast else own.filter(F.coalesce(F.schema_of_variant(F.try_parse_json("t")).rlike("^(ARRAY|OBJECT)"), F.lit(False)))
     listed = own.filter(F.col("t").startswith("[")).select("*", F.posexplode(F.from_json("t", f"array<{MAP}>")).alias("pos", "record"))
     top = own.filter(F.col("t").startswith("{")).withColumn("top", F.from_json("t", MAP))
     held = F.filter(F.array(*[F.lit(s) for s in SECTIONS]), lambda s: F.col("top")[s].startswith("[") | F.col("top")[s].startswith("{"))
@@ -111,7 +124,7 @@ def text_records(files: DataFrame) -> DataFrame:
 def read_records(spark: SparkSession, path: str, failfast: bool = True, upload: bool = False) -> DataFrame:
     """RECORDS of everything below ``path``; with ``upload``, marked with the file they come from."""
     files = read_files(spark, path)
-    all_ = json_records(files).unionByName(jsonl_records(files, failfast)).unionByName(delimited_records(files)).unionByName(text_records(files))
+    all_ = json_records(files, failfast).unionByName(jsonl_records(files, failfast)).unionByName(delimited_records(files)).unionByName(text_records(files))
     if not upload:
         return all_
     marked = F.map_concat(F.map_filter("record", lambda k, _: k != "_uploaded_from"), F.create_map(F.lit("_uploaded_from"), F.col("file_name")))

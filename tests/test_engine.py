@@ -12,19 +12,19 @@ from lodeworks.operators import hypotheses as H
 from lodeworks.operators import resolve as R
 
 REFERENCE = {
-    "materials": [{"name": "Ti-6Al-4V", "canonical_id": "m_ti", "aliases": ["Ti6Al4V", "ti 6al 4v"], "properties": {"base": "Ti"}}, {"name": "Norvan 20", "aliases": "NV20; N-20"}],
-    "properties": [{"name": "Hardness", "aliases": ["твердость"], "properties": {"unit": "HV"}}, {"name": "Strength", "properties": {"unit": "MPa"}}],
+    "materials": [{"name": "Tal-6Om-4", "canonical_id": "m_tal", "aliases": ["Tal6Om4", "tal 6om 4"], "properties": {"base": "Tal"}}, {"name": "Norvan 20", "aliases": "NV20; N-20"}],
+    "properties": [{"name": "Springback", "aliases": ["упругость"], "properties": {"unit": "HV"}}, {"name": "Strength", "properties": {"unit": "MPa"}}],
     "modes": [{"name": "Aged"}, {"name": "As Built"}],
-    "coverage_rules": [{"rule_id": "r1", "name": "basic", "material_names": ["Ti6Al4V"], "mode_names": ["Aged"], "property_names": ["Hardness", "Strength", "Unknown"], "scope": "core"}, {"rule_id": "r2", "name": "no modes", "material_names": ["Norvan 20"], "mode_names": [], "property_names": ["Hardness"], "scope": "core"}],
+    "coverage_rules": [{"rule_id": "r1", "name": "basic", "material_names": ["Tal6Om4"], "mode_names": ["Aged"], "property_names": ["Springback", "Strength", "Unknown"], "scope": "core"}, {"rule_id": "r2", "name": "no modes", "material_names": ["Norvan 20"], "mode_names": [], "property_names": ["Springback"], "scope": "core"}],
 }
 EXPERIMENTS = [
-    {"experiment_id": "E-1", "title": "Ageing trial", "material_name": "ti 6al 4v", "mode_name": "Aged", "equipment_names": ["Kiln 1", "Rig 2"], "team_name": "Desk A", "document_id": "D-1", "source_ref": "file-a.json",
+    {"experiment_id": "E-1", "title": "Ageing trial", "material_name": "tal 6om 4", "mode_name": "Aged", "equipment_names": ["Kiln 1", "Rig 2"], "team_name": "Desk A", "document_id": "D-1", "source_ref": "file-a.json",
      "observations": [{"property_name": "Strength", "value": 1080, "unit": "MPa", "row_reference": "row 3", "fragment": "1080 MPa"}, {"property_name": "Strength", "value": "900,5", "unit": "MPa", "row_reference": "row 4"}],
      "findings": [{"summary": "Ageing raised the strength", "decision": "keep", "observation_indices": [0, -1, 7, -9]}], "text_units": [{"content": "Strength of 1080 after ageing"}]},
-    {"experiment_id": "E-2", "title": "Second trial", "material_name": "NV20", "source_ref": "file-b.json", "observations": [{"property_name": "Hardness", "value": 310, "unit": "HV"}]},
+    {"experiment_id": "E-2", "title": "Second trial", "material_name": "NV20", "source_ref": "file-b.json", "observations": [{"property_name": "Springback", "value": 310, "unit": "HV"}]},
     {"experiment_id": "", "material_name": "dropped"},
 ]
-CSV = "experiment_id,title,material,mode,equipment,property,value,unit,finding,operator\nE-3,Flat,Norvan 20,As Built,Kiln 1;Rig 2,Hardness,\"123,5\",HV,harder than before,mk\n"
+CSV = "experiment_id,title,material,mode,equipment,property,value,unit,finding,operator\nE-3,Flat,Norvan 20,As Built,Kiln 1;Rig 2,Springback,\"123,5\",HV,harder than before,mk\n"
 
 
 @pytest.fixture(scope="module")
@@ -33,7 +33,7 @@ def engine(spark, tmp_path_factory):
     (drop / "a_reference.json").write_text(json.dumps(REFERENCE), encoding="utf-8")
     (drop / "b_experiments.json").write_text(json.dumps(EXPERIMENTS), encoding="utf-8")
     (drop / "c_rows.csv").write_bytes(b"\xef\xbb\xbf" + CSV.encode())
-    (drop / "d_docs.jsonl").write_text(json.dumps({"document_id": "D-1", "title": "Report", "text": "Report on hardness of Ti6Al4V", "material_names": ["Ti6Al4V"], "tag_names": "ageing; heat", "experiment_ids": ["E-1"], "findings": [{"summary": "Doc finding"}]}) + "\n\n", encoding="utf-8")
+    (drop / "d_docs.jsonl").write_text(json.dumps({"document_id": "D-1", "title": "Report", "text": "Report on springback of Tal6Om4", "material_names": ["Tal6Om4"], "tag_names": "ageing; heat", "experiment_ids": ["E-1"], "findings": [{"summary": "Doc finding"}]}) + "\n\n", encoding="utf-8")
     (drop / "e_notes.md").write_text("intro\n# Process notes\nSlow cooling helps", encoding="utf-8")
     (drop / "f_bytes.txt").write_bytes("caf\xe9 note".encode("latin-1"))
     e = Engine(spark, str(root / "graph"))
@@ -53,10 +53,10 @@ def test_counts_and_validity(engine):
 
 def test_names_resolve_to_one_material(engine):
     g = engine.graph
-    for name in ("ti 6al 4v", "Ti6Al4V", "TI-6AL-4V"):
-        assert R.resolve_one(g.entities, "material", name) == "m_ti"
-    assert rows(g.entities.filter("kind = 'material'"), "canonical_name") == [("Norvan 20",), ("Ti-6Al-4V",)]
-    assert R.resolve_one(g.entities, None, "твердость") == R.resolve_one(g.entities, "property", "Hardness")
+    for name in ("tal 6om 4", "Tal6Om4", "TAL-6OM-4"):
+        assert R.resolve_one(g.entities, "material", name) == "m_tal"
+    assert rows(g.entities.filter("kind = 'material'"), "canonical_name") == [("Norvan 20",), ("Tal-6Om-4",)]
+    assert R.resolve_one(g.entities, None, "упругость") == R.resolve_one(g.entities, "property", "Springback")
     with pytest.raises(schema.EntityNotFound):
         R.require_one(g.entities, "mode", "nothing")
 
@@ -68,7 +68,7 @@ def test_ingest_again_changes_nothing(engine):
 
 
 def test_material_mode(engine):
-    r = engine.material_mode("Ti6Al4V", "Aged")
+    r = engine.material_mode("Tal6Om4", "Aged")
     assert rows(r.observations, "value") == [(900.5,), (1080.0,)]
     assert rows(r.experiments, "canonical_name") == [("Ageing trial",)]
     found = r.findings.collect()
@@ -86,7 +86,7 @@ def test_property_range_excludes_missing_values(engine):
 
 
 def test_flat_csv_row(engine):
-    obs = engine.property("Hardness", material="NV20").observations
+    obs = engine.property("Springback", material="NV20").observations
     assert rows(obs, "value") == [(123.5,), (310.0,)]
     bag = engine.graph.entities.filter("id = 'E-3'").first().properties
     assert bag["operator"] == "mk"
@@ -99,12 +99,12 @@ def test_gaps_and_rules_without_modes(engine):
 
 
 def test_related_and_history(engine):
-    rel = engine.related("Ti6Al4V", 2)
+    rel = engine.related("Tal6Om4", 2)
     assert {"E-1", "D-1"} <= {r.id for r in rel.entities.collect()}
-    assert all(p.nodes[0] == "m_ti" and len(p.rels) == p.depth for p in rel.paths.collect())
+    assert all(p.nodes[0] == "m_tal" and len(p.rels) == p.depth for p in rel.paths.collect())
     assert sorted(t.summary for t in engine.decision_history("Ageing trial").collect()) == ["Ageing raised the strength", "Doc finding"]
     with pytest.raises(ValueError):
-        engine.related("Ti6Al4V", 9)
+        engine.related("Tal6Om4", 9)
 
 
 def test_documents_and_files_of_any_kind(engine):
@@ -134,19 +134,19 @@ def test_overview_and_suggestions(engine):
 
 
 def test_answer(engine):
-    a = engine.answer("What is the Strength of Ti6Al4V?")
+    a = engine.answer("What is the Strength of Tal6Om4?")
     assert "1080" in a["answer"] and a["citations"].count() >= 2 and not a["warnings"]
     assert engine.answer("Nothing known", material="zzz")["warnings"]
-    assert list(engine.answer_stream("Strength of Ti6Al4V"))[-1] == "[DONE]"
+    assert list(engine.answer_stream("Strength of Tal6Om4"))[-1] == "[DONE]"
 
 
 def test_hypotheses_rank_and_adjust(engine, spark):
-    h = engine.hypotheses("endurance", material="Ti6Al4V", max_hypotheses=20)
+    h = engine.hypotheses("endurance", material="Tal6Om4", max_hypotheses=20)
     got = h.orderBy("rank").collect()
     assert [r.rank for r in got] == list(range(1, len(got) + 1)) and {"coverage_gap", "observed_effect"} <= {r.hypothesis_type for r in got}
     assert [r.final_score for r in got] == sorted((r.final_score for r in got), reverse=True)
     adj = spark.createDataFrame([(got[0].id, True, None, None, None, None, None, "no"), (got[1].id, False, None, 0.5, None, None, None, None)], H.ADJUSTMENTS)
-    after = {r.id: r for r in engine.hypotheses("endurance", material="Ti6Al4V", max_hypotheses=20, adjustments=adj).collect()}
+    after = {r.id: r for r in engine.hypotheses("endurance", material="Tal6Om4", max_hypotheses=20, adjustments=adj).collect()}
     assert after[got[0].id].final_score == 0 and after[got[0].id].expert_notes == ["no"] and after[got[1].id].final_score > got[1].final_score
     with pytest.raises(ValueError):
         engine.hypotheses("x", max_hypotheses=50)
@@ -232,3 +232,67 @@ def test_stream_ingest_and_sessions(spark, tmp_path, engine):
     q = tumbling(spark.readStream.schema(ev.schema).parquet(str(tmp_path / "e")), "1 hour", "10 minutes").writeStream.format("memory").queryName("tum").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp3")).start()
     q.awaitTermination(120)
     assert (2, 3.0) in {(r.n, r.total) for r in spark.table("tum").collect()}
+
+
+def test_numbering_has_no_gaps_over_many_partitions(spark):
+    from lodeworks.operators.ingest import numbered
+
+    df = spark.range(0, 5000, 1, 13).select(F.concat(F.lit("f"), F.pmod(F.col("id") * 7919, F.lit(5000)) % 3).alias("path"), F.pmod(F.col("id") * 7919, F.lit(5000)).alias("pos"))
+    got = [(r.path, r.pos, r.seq) for r in numbered(df).collect()]
+    assert [(p, n) for p, n, _ in sorted(got, key=lambda r: r[2])] == sorted((p, n) for p, n, _ in got)
+    assert sorted(s for _, _, s in got) == list(range(5000))
+    assert numbered(df.limit(0)).count() == 0
+
+
+def test_folds_reduce_by_element(spark):
+    from lodeworks.operators.folds import fold_relations
+
+    schema_ = "id string, relation_type string, source_entity_id string, target_entity_id string, evidence_ids array<string>, properties map<string,string>, confidence double, created_at timestamp, updated_at timestamp, seq bigint"
+    rows = [("hot", "r", "a", "b", [f"e{i % 7}", None, "x"], {"k": str(i), f"k{i % 3}": "v"}, 0.5, None, None, i) for i in range(400)] + [("one", "r", "a", "c", None, None, None, None, None, 5)]
+    got = {r.id: r for r in fold_relations(spark.createDataFrame(rows, schema_).repartition(7)).collect()}
+    assert got["hot"].evidence_ids == [*(f"e{i}" for i in range(7)), "x"] and got["hot"].properties == {"k": "399", "k0": "v", "k1": "v", "k2": "v"} and got["hot"].seq == 0
+    assert got["one"].evidence_ids == [] and got["one"].properties == {}
+
+
+def test_a_store_survives_a_writer_that_ends_halfway(spark, tmp_path, monkeypatch):
+    from lodeworks.operators.ingest import Batch
+    from lodeworks.schema import empty
+    from lodeworks.sources.store import Store
+
+    one = lambda i, text: spark.createDataFrame([(f"t{i}", f"d{i}", "document", text, None, None, {}, None, i)], empty(spark, "text_units").schema)
+    store = Store(spark, str(tmp_path / "root"), buckets=4)
+    for i in range(6):
+        store.ingest(Batch({"text_units": one(i, "first")}))
+    assert store.load().text_units.count() == 6 and Store(spark, str(tmp_path / "root")).buckets == 4
+    real = Store._fs
+
+    class Broken:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def __getattr__(self, name):
+            if name == "rename":
+                raise OSError("the writer ends here")
+            return getattr(self.fs, name)
+
+    monkeypatch.setattr(Store, "_fs", lambda self: Broken(real(self)))
+    with pytest.raises(OSError):
+        store.ingest(Batch({"text_units": one(1, "second")}))
+    monkeypatch.undo()
+    assert {r.content for r in store.load().text_units.collect()} == {"first"}
+    store.ingest(Batch({"text_units": one(1, "second")}))
+    assert sorted(r.content for r in store.load().text_units.collect()) == ["first"] * 5 + ["second"]
+    versions = [p for p in (tmp_path / "root" / "text_units").iterdir() if p.is_dir()]
+    assert len(versions) <= 8  # old versions are removed
+
+
+def test_broken_json_raises_and_names_the_file(spark, tmp_path):
+    from lodeworks.sources.files import json_records, read_files
+
+    for name, text in (("good.json", '[{"a": 1}]'), ("bad.json", '{"a": '), ("scalar.json", "7"), ("blank.json", " \n")):
+        (tmp_path / name).write_text(text)
+    files = read_files(spark, str(tmp_path))
+    assert [r.record for r in json_records(files, failfast=False).collect()] == [{"a": "1"}]
+    for name in ("bad", "scalar", "blank"):
+        with pytest.raises(Exception, match=f"{name}.json"):
+            json_records(files.filter(F.col("file_name") == f"{name}.json")).collect()
