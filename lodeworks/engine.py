@@ -135,8 +135,7 @@ class Engine:
         text = " ".join(filter(None, (kpi, question, names["material"] or material, names["mode"] or mode, names["property"] or property_name)))
         hits = search.search_evidence_units(g.text_units, text, 12, source_ids)
         missing = gaps.data_gaps(g, where=gaps.GapFilter(names["material"], names["mode"], names["property"]), source_ids=source_ids, mode=res)
-        total = hypotheses.totals(obs, evidence, hits)
-        out = hypotheses.gap_hypotheses(missing, obs, total, kpi).unionByName(hypotheses.effect_hypotheses(obs, evidence, total, kpi)).unionByName(hypotheses.literature_hypotheses(hits, total, kpi))
+        out = hypotheses.all_hypotheses(missing, obs, evidence, hits, kpi)
         if adjustments is not None:
             out = hypotheses.apply_adjustments(out, adjustments)
         return hypotheses.top_ranked(out, max_hypotheses)

@@ -6,11 +6,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lodeworks.functions.expr import entity_in_sources
+from lodeworks.operators.ingest import numbered
 from lodeworks.schema import Graph
-from lodeworks.session import cut_lineage
+from lodeworks.session import cut_lineage, written
 
 #: Largest depth of a traversal.
 MAX_DEPTH = 5
@@ -39,12 +39,13 @@ def related_paths(relations: DataFrame, root: str, depth: int = 2) -> tuple[Data
 
     ``paths`` (depth, src, dst, rel_id, nodes, rels): every hop out of an expanded node, also the one back to
     its parent and to nodes met before; its prefix is the first path that found its node. ``reached`` (node,
-    depth, rank): nodes by first discovery, the root excluded. One join a level, each level checkpointed.
+    depth, rank): nodes by first discovery, the root excluded, ranked within a level. One join a level over edges
+    that are written once; each level is checkpointed. Ranks are places within ranges, so no task sorts a whole level.
     """
     if not 0 <= depth <= MAX_DEPTH:
         raise ValueError(f"depth must be between 0 and {MAX_DEPTH}")
     spark = relations.sparkSession
-    edges = both_ways(relations)
+    edges = written(both_ways(relations), "edges") if depth > 1 else both_ways(relations)
     frontier = spark.createDataFrame([(root, 0, 0, [root], [])], "node string, depth int, rank int, nodes array<string>, rels array<string>")
     visited = frontier.select("node", "depth", "rank")
     paths = spark.createDataFrame([], "depth int, src string, dst string, rel_id string, nodes array<string>, rels array<string>, parent_rank int, rel_seq bigint")
@@ -56,8 +57,8 @@ def related_paths(relations: DataFrame, root: str, depth: int = 2) -> tuple[Data
         paths = paths.unionByName(hops)
         fresh = hops.join(visited.select(F.col("node").alias("dst")), "dst", "left_anti")
         first = fresh.groupBy("dst").agg(F.min_by(F.struct("nodes", "rels", "parent_rank", "rel_seq", "rel_id"), F.struct("parent_rank", "rel_seq", "rel_id")).alias("p"))
-        order = Window.orderBy("p.parent_rank", "p.rel_seq", "p.rel_id", "dst")
-        frontier = cut_lineage(first.select(F.col("dst").alias("node"), F.lit(d).alias("depth"), F.row_number().over(order).alias("rank"), "p.nodes", "p.rels"))
+        placed = numbered(first.select(F.col("dst").alias("node"), "p.*"), "parent_rank", "rel_seq", "rel_id", "node")
+        frontier = cut_lineage(placed.select("node", F.lit(d).alias("depth"), (F.col("seq") + 1).cast("int").alias("rank"), "nodes", "rels"))
         visited = visited.unionByName(frontier.select("node", "depth", "rank"))
     return paths.drop("parent_rank", "rel_seq"), visited.filter(F.col("depth") > 0)
 

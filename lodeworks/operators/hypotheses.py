@@ -66,10 +66,22 @@ def conflict_counts(observations: DataFrame) -> DataFrame:
     return joined.select("o.*", F.col("w.near").alias("near")).withColumn("conflicts", F.when(F.col("value").isNotNull(), F.col("valued") - F.col("near")).otherwise(0)).drop("valued", "near")
 
 
-def gap_hypotheses(gaps: DataFrame, observations: DataFrame, total: DataFrame, kpi: str) -> DataFrame:
-    """One hypothesis a gap; ``same`` counts observations of its property and mode."""
+def pair_counts(observations: DataFrame) -> DataFrame:
+    """(material_id, property_id, mode_id, n, same): observations of a triple, and of its property and mode over all materials."""
+    by = observations.groupBy("material_id", "property_id", "mode_id").agg(F.count("*").alias("n"))
+    same = by.groupBy(F.col("property_id").alias("_p"), F.col("mode_id").alias("_m")).agg(F.sum("n").alias("same"))
+    return by.join(same, (F.col("property_id") == F.col("_p")) & F.col("mode_id").eqNullSafe(F.col("_m"))).select("material_id", "property_id", "mode_id", "n", "same")
+
+
+def gap_support(gaps: DataFrame, observations: DataFrame) -> DataFrame:
+    """``gaps`` with ``same``, the number of observations of their property and mode, of any material."""
     seen = observations.groupBy("property_id", "mode_id").agg(F.count("*").alias("same"))
-    own = gaps.join(small_side(seen, BROADCAST_ROWS), ["property_id", "mode_id"], "left").withColumn("same", F.coalesce("same", F.lit(0))).crossJoin(F.broadcast(total))
+    return gaps.join(small_side(seen, BROADCAST_ROWS), ["property_id", "mode_id"], "left").withColumn("same", F.coalesce("same", F.lit(0)))
+
+
+def gap_hypotheses(gaps: DataFrame, observations: DataFrame, total: DataFrame, kpi: str) -> DataFrame:
+    """One hypothesis a gap."""
+    own = gaps.crossJoin(F.broadcast(total))
     out = scored(
         own,
         F.least(F.lit(1.0), 0.7 + 0.3 * (1.0 - F.least(F.col("n_obs") / 20.0, F.lit(1.0)))), 0.45 + 0.2 * (1.0 - F.col("mean_evidence")),
@@ -138,6 +150,12 @@ def apply_adjustments(hypotheses: DataFrame, adjustments: DataFrame) -> DataFram
     )
 
 
+def all_hypotheses(gaps: DataFrame, observations: DataFrame, evidence: DataFrame, hits: DataFrame, kpi: str) -> DataFrame:
+    """The hypotheses of all three families."""
+    total = totals(observations, evidence, hits)
+    return gap_hypotheses(gaps, observations, total, kpi).unionByName(effect_hypotheses(observations, evidence, total, kpi)).unionByName(literature_hypotheses(hits, total, kpi))
+
+
 def top_ranked(hypotheses: DataFrame, k: int = 5) -> DataFrame:
     """The ``k`` best with ``rank`` from 1; equal scores in order of family and subject. A top-k, not a full sort."""
     best = hypotheses.orderBy(F.desc("final_score"), "family", "subject_id").limit(k)

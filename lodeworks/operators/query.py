@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,6 +12,10 @@ from lodeworks.functions.expr import bag_in_sources, entity_in_sources, filled,
 from lodeworks.operators.resolve import require_one
 from lodeworks.operators.search import search_text_units
 from lodeworks.schema import ENTITY_KINDS, Graph
+from lodeworks.session import small_side, written
+
+#: Names up to which the entities of a kind are broadcast.
+BROADCAST_ROWS = 500_000
 
 
 @dataclass(frozen=True)
@@ -118,24 +122,61 @@ def in_source_set(graph: Graph, sources: list[str] | None) -> Graph:
 
 def source_files(graph: Graph) -> DataFrame:
     """(source_file): references and provenance keys of entities, and of evidence that observations point to."""
-    bag = F.col("properties")
-    refs = F.concat(F.coalesce("source_refs", F.array().cast("array<string>")), F.array_compact(F.array(filled(bag["source_file"]), filled(bag["source_ref"]), filled(bag["_uploaded_from"]))))
-    named = graph.entities.select(F.explode(refs).alias("source_file"))
+    named = graph.entities.select(F.explode(_entity_files()).alias("source_file"))
     used = by_ids(graph.evidence, graph.observations.select("evidence_id"))
+    return named.unionByName(used.select(_evidence_file().alias("source_file"))).filter("source_file is not null").distinct()
+
+
+def _entity_files() -> Column:
+    bag = F.col("properties")
+    return F.concat(F.coalesce("source_refs", F.array().cast("array<string>")), F.array_compact(F.array(filled(bag["source_file"]), filled(bag["source_ref"]), filled(bag["_uploaded_from"]))))
+
+
+def _evidence_file() -> Column:
     meta = F.col("metadata")
-    return named.unionByName(used.select(F.coalesce(filled(meta["source_file"]), filled(meta["source_ref"]), "source_id").alias("source_file"))).filter("source_file is not null").distinct()
+    return F.coalesce(filled(meta["source_file"]), filled(meta["source_ref"]), "source_id")
+
+
+def kind_counts(entities: DataFrame) -> DataFrame:
+    """(kind, n): entities by kind."""
+    return entities.groupBy("kind").agg(F.count("*").alias("n"))
+
+
+def without_observation(graph: Graph, kind: str) -> DataFrame:
+    """Entities of a kind that no observation points to."""
+    return of_kind(graph, kind).join(graph.observations.select(F.col(f"{kind}_id").alias("id")), "id", "left_anti")
+
+
+def with_names(df: DataFrame, entities: DataFrame, *kinds: str) -> DataFrame:
+    """``df`` with a column of the canonical name for each ``<kind>_id``; the id itself where the entity is unknown."""
+    out = df
+    for kind in kinds:
+        names = entities.filter(F.col("kind") == kind).select(F.col("id").alias(f"{kind}_id"), F.col("canonical_name").alias("_name"))
+        out = out.join(small_side(names, BROADCAST_ROWS), f"{kind}_id", "left").withColumn(kind, F.coalesce("_name", f"{kind}_id")).drop("_name")
+    return out
 
 
 def overview(graph: Graph) -> DataFrame:
-    """One row of totals; evidence counts once for each observation that points to it."""
-    count = lambda df, name: df.agg(F.count("*").alias(name))
-    used = graph.observations.join(graph.evidence.select(F.col("id").alias("evidence_id")), "evidence_id")
-    kinds = graph.entities.groupBy("kind").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "n")))).alias("by_kind"))
-    files = source_files(graph).agg(F.array_sort(F.collect_set("source_file")).alias("source_files"))
-    out = count(graph.entities, "total_entities")
-    for df in (kinds, count(graph.observations, "total_observations"), count(graph.relations, "total_relations"), count(used, "total_evidence"), files):
+    """One row of totals; evidence counts once for each observation that points to it.
+
+    Entities and observations are read once each, into summaries by kind and by source file that are written.
+    """
+    refs = _entity_files()
+    entities = written(
+        graph.entities.select("kind", F.posexplode_outer(refs).alias("pos", "source_file"))
+        .groupBy("kind", "source_file").agg(F.count_if(F.coalesce("pos", F.lit(0)) == 0).alias("n")), "entities-by-file",
+    )
+    used = graph.observations.groupBy("evidence_id").agg(F.count("*").alias("n"))
+    proof = graph.evidence.select(F.col("id").alias("evidence_id"), F.lit(True).alias("known"), _evidence_file().alias("source_file"))
+    observations = written(used.join(proof, "evidence_id", "left").groupBy("known", "source_file").agg(F.sum("n").alias("n")), "observations-by-file")
+    kinds = entities.groupBy("kind").agg(F.sum("n").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_entities"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "n")))).alias("by_kind"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    facts = observations.agg(total("n").alias("total_observations"), total(F.when(F.col("known"), F.col("n"))).alias("total_evidence"))
+    files = entities.select("source_file").unionByName(observations.filter("known").select("source_file")).filter("source_file is not null").agg(F.array_sort(F.collect_set("source_file")).alias("source_files"))
+    out = kinds
+    for df in (facts, graph.relations.agg(F.count("*").alias("total_relations")), files):
         out = out.crossJoin(df)  # single rows
-    return out
+    return out.select("total_entities", "by_kind", "total_observations", "total_relations", "total_evidence", "source_files")
 
 
 def first_by_kind(entities: DataFrame) -> dict[str, list[str]]:

@@ -53,16 +53,22 @@ def _sql(body: str, *ctes: str) -> str:
     return ("with " + ",\n".join(_CTES[c] for c in ctes) + "\n" if ctes else "") + body
 
 
-def registered(sql: str | None = None, *ctes: str):
-    """Register a query under its function's name, with its SQL over the named common tables."""
+def registrar(queries: dict[str, Query], oracle: dict[str, str]):
+    """A decorator that registers a query under its function's name, with its SQL over the named common tables."""
 
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE[f.__name__] = _sql(sql, *ctes)
-        return f
+    def registered(sql: str | None = None, *ctes: str):
+        def add(f: Query) -> Query:
+            queries[f.__name__] = f
+            if sql is not None:
+                oracle[f.__name__] = _sql(sql, *ctes)
+            return f
 
-    return add
+        return add
+
+    return registered
+
+
+registered = registrar(QUERIES, ORACLE)
 
 
 def _star(spark: SparkSession, folder: str) -> Graph:
@@ -244,9 +250,7 @@ def property_materials(spark, folder):
 
 @registered("select o_orderkey::varchar as name from orders where not exists (select 1 from lineitem join part on l_partkey = p_partkey where l_orderkey = o_orderkey)")
 def experiments_without_observation(spark, folder):
-    g = _star(spark, folder)
-    own = g.entities.filter("kind = 'experiment'")
-    return own.join(g.observations.select(F.col("experiment_id").alias("id")), "id", "left_anti").select(F.col("canonical_name").alias("name"))
+    return query.without_observation(_star(spark, folder), "experiment").select(F.col("canonical_name").alias("name"))
 
 
 @registered("select distinct v.id, v.source_id, v.confidence from evid v join obs o on o.evidence_id = v.id where o.p_brand = 'Brand#3' and o.p_type = 'SMALL'", "obs", "evid")
@@ -259,9 +263,8 @@ def evidence_for_observations(spark, folder):
 @registered("select e.canonical_name as material, m.canonical_name as mode, count(*) as n, round(avg(o.value), 4) as mean from obs o left join ents e on e.id = o.material_id left join ents m on m.id = o.mode_id where o.m = 'quantity' group by 1, 2", "obs", "ents")
 def observation_names(spark, folder):
     g = _star(spark, folder)
-    name = lambda k: g.entities.filter(F.col("kind") == k).select(F.col("id").alias(f"{k}_id"), F.col("canonical_name").alias(k))
     obs = query.observations_of(g.observations, property_id=_id("property", "quantity")).groupBy("material_id", "mode_id").agg(F.count("*").alias("n"), F.sum("value").alias("s"))
-    return obs.join(name("material"), "material_id", "left").join(name("mode"), "mode_id", "left").select("material", "mode", "n", _r(F.col("s") / F.col("n"), 4).alias("mean"))
+    return query.with_names(obs, g.entities, "material", "mode").select("material", "mode", "n", _r(F.col("s") / F.col("n"), 4).alias("mean"))
 
 
 @registered("select event_id as seq, event_type as summary, ts as timestamp from events where user_id = 7")
@@ -361,7 +364,7 @@ def induced_subgraph(spark, folder):
 
 @registered("select kind, count(*) as n from ents group by 1", "ents")
 def overview_by_kind(spark, folder):
-    return star.entities(spark, folder).groupBy("kind").agg(F.count("*").alias("n"))
+    return query.kind_counts(star.entities(spark, folder))
 
 
 @registered("select distinct f as source_file from (select substr(canonical_name, 1, 1) as f from ents union all select v.source_id from evid v join obs o on o.evidence_id = v.id) where f is not null", "ents", "obs", "evid")
@@ -400,10 +403,7 @@ def conflict_count(spark, folder):
 
 @registered("select material_id, property_id, mode_id, count(*) as n, max(same) as same from (select *, count(*) over (partition by property_id, mode_id) as same from obs) group by 1, 2, 3", "obs")
 def same_pair_count(spark, folder):
-    obs = star.observations(spark, folder)
-    by = obs.groupBy("material_id", "property_id", "mode_id").agg(F.count("*").alias("n"))
-    same = by.groupBy("property_id", "mode_id").agg(F.sum("n").alias("same"))
-    return by.join(same, ["property_id", "mode_id"]).select("material_id", "property_id", "mode_id", "n", "same")
+    return hypotheses.pair_counts(star.observations(spark, folder))
 
 
 @registered("""select id as subject_id, round(least(1.0, 0.7 + 0.3 * (1 - least(n_obs / 20.0, 1.0))), 9) as novelty, round(0.45 + 0.2 * (1 - mean_evidence), 9) as risk, round(0.7 + 0.15 * (1 - least(n_evidence / 30.0, 1.0)), 9) as value_score,
@@ -467,7 +467,7 @@ def expert_adjust(spark, folder):
 def citations_(spark, folder):
     _, _, evidence, hits = _some(spark, folder)
     # an order has one fragment; the smallest part stands for it
-    one = evidence.withColumn("seq", F.col("seq") * 10_000_000 + F.col("span.row_reference").cast("bigint") * 0)
+    one = evidence
     first = one.groupBy("source_id", "span.fragment").agg(F.min_by(F.struct(*one.columns), F.struct("seq", "span.row_reference")).alias("r")).select("r.*")
     return citations(first, hits).filter("source_kind = 'experiment'").select("source_id", "source_kind", "fragment", "row_reference")
 

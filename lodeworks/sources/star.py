@@ -30,6 +30,11 @@ def _at() -> Column:
     return F.lit("2024-01-01").cast("timestamp")
 
 
+def _place(name: Column) -> Column:
+    """A place in the order of arrival, drawn from the name: unlike any other order of the tables."""
+    return F.conv(F.substring(F.sha1(name), 1, 8), 16, 10).cast("bigint")
+
+
 def entities(spark: SparkSession, folder: str) -> DataFrame:
     t = lambda name: table(spark, folder, name)
     parts = [
@@ -43,7 +48,7 @@ def entities(spark: SparkSession, folder: str) -> DataFrame:
     for kind, df in parts:
         own = df.filter("n is not null").select(
             entity_id(kind, F.col("n")).alias("id"), F.lit(kind).alias("kind"), F.col("n").alias("canonical_name"), F.expr(_NO_LIST).alias("aliases"), F.expr(_NO_BAG).alias("properties"),
-            F.array(F.substring("n", 1, 1)).alias("source_refs"), F.lit(1.0).alias("confidence"), _at().alias("created_at"), _at().alias("updated_at"), F.lit(0).cast("bigint").alias("seq"))
+            F.array(F.substring("n", 1, 1)).alias("source_refs"), F.lit(1.0).alias("confidence"), _at().alias("created_at"), _at().alias("updated_at"), _place(F.col("n")).alias("seq"))
         out = own if out is None else out.unionByName(own)
     return out
 
@@ -88,7 +93,7 @@ def relations(spark: SparkSession, folder: str) -> DataFrame:
     both = orders.unionByName(of(tags, entity_id("document", F.col("d")), entity_id("tag", F.col("n")), F.expr(_NO_LIST)))
     return both.select(
         stable_id("rel", F.col("relation_type"), F.col("source_entity_id"), F.col("target_entity_id")).alias("id"), "*", F.expr(_NO_BAG).alias("properties"), F.lit(1.0).alias("confidence"), _at().alias("created_at"), _at().alias("updated_at"),
-        F.lit(0).cast("bigint").alias("seq"))
+        _place(F.concat_ws("::", "relation_type", "source_entity_id", "target_entity_id")).alias("seq"))
 
 
 def decision_traces(spark: SparkSession, folder: str) -> DataFrame:
