@@ -1,8 +1,9 @@
 """Deeply nested records as related flat tables.
 
-One pass over each record emits tagged rows (table tag, primary key, parent key, payload): the visit of the
-record's arrays is one array expression, exploded once, so the table is read once and nothing is shuffled.
-The tagged rows are then filtered by tag, or written partitioned by it.
+A visitor walks each record depth first and emits tagged rows (table tag, primary key, parent key, payload): first its
+observations, then its text units, then its findings, and below each finding the observations that it points to.
+The visit of a record is one array expression, exploded once, so the table is read once and nothing is shuffled. The
+rows are written partitioned by tag and read again under the schema of each tag.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_BLANK = r"^[\s ]*$"
+_BLANK = r"^[\s ]*$"
 _EMPTY_INTS = "array<int>"
 
 
@@ -18,53 +19,10 @@ def _said(c: Column) -> Column:
     return c.isNotNull() & ~c.rlike(_BLANK)
 
 
-def _tag(record: str, child: Column, linked: Column, text: Column, value: Column) -> Column:
-    return F.struct(
-        F.lit(record).alias("record"),
-        child.cast("int").alias("child_no"),
-        linked.cast("int").alias("linked_no"),
-        text.cast("string").alias("text"),
-        value.cast("double").alias("value"),
-    )
-
-
 def _none(c: Column, kind: str) -> Column:
     return F.coalesce(c, F.array().cast(kind))
 
 
-def tagged_children(experiments: DataFrame) -> DataFrame:
-    """Tagged rows of ``experiments``: (record, exp_row, child_no, linked_no, text, value).
-
-    ``observation``: those with a property name that is not blank. ``text_unit``: those with content that is
-    not blank. ``finding_observation``: place of a finding and place of an observation it points to, once
-    each; an index counts from 0 or, negative, from the end; one outside the array or to an observation not
-    listed gives nothing. Places count null elements too. Null and empty arrays give no rows.
-    """
-    kinds = {f.name: f.dataType.simpleString() for f in experiments.schema.fields}
-    obs, found, units = (_none(F.col(c), kinds[c]) for c in ("observations", "findings", "text_units"))
-    none = F.lit(None)
-    observation = F.transform(
-        obs, lambda o, i: F.when(_said(o["property_name"]), _tag("observation", i, F.lit(-1), o["property_name"], o["value"]))
-    )
-    text_unit = F.transform(units, lambda t, i: F.when(_said(t["content"]), _tag("text_unit", i, F.lit(-1), t["content"], none)))
-    listed = F.transform(obs, lambda o: F.coalesce(_said(o["property_name"]), F.lit(False)))
-    n = F.size(obs)
-
-    def links(f: Column, i: Column) -> Column:
-        place = F.array_distinct(F.transform(_none(f["observation_indices"], _EMPTY_INTS), lambda x: F.when(x < 0, x + n).otherwise(x)))
-        held = F.filter(place, lambda x: x.isNotNull() & (x >= 0) & (x < n))
-        kept = F.filter(held, lambda x: F.coalesce(F.get(listed, x), F.lit(False)))
-        return F.transform(kept, lambda x: _tag("finding_observation", i, x, f["summary"], none))
-
-    linked = F.flatten(F.transform(found, links))
-    visit = F.concat(observation, text_unit, linked)
-    return (
-        experiments.select("exp_row", F.explode(visit).alias("row"))
-        .filter(F.col("row").isNotNull())
-        .select("row.record", "exp_row", "row.child_no", "row.linked_no", "row.text", "row.value")
-    )
-
-
 #: Tag, its array in a record, and the name of its own key.
 _RECORDS = (("observation", "observations", "obs_no"), ("finding", "findings", "finding_no"), ("text_unit", "text_units", "unit_no"))
 
@@ -74,7 +32,9 @@ def tagged_records(experiments: DataFrame) -> DataFrame:
 
     The column named like the tag holds the child with all its fields, the others are null. Every element that
     is not null gives a row; ``listed`` is false for observations without a property name, text units without
-    content, and links to such observations. Links are those of ``tagged_children``, to unlisted observations too.
+    content, and links to such observations. ``finding_observation`` has the place of a finding and the place of an
+    observation it points to, once each; an index counts from 0 or, negative, from the end, and one outside the array
+    or to a null element gives nothing. Places count null elements too. Null and empty arrays give no rows.
     """
     types = {f.name: f.dataType for f in experiments.schema.fields}
     arrays = {tag: _none(F.col(c), types[c].simpleString()) for tag, c, _ in _RECORDS}
@@ -83,22 +43,34 @@ def tagged_records(experiments: DataFrame) -> DataFrame:
         own = [(payload if tag == record else F.lit(None)).cast(types[c].elementType).alias(tag) for tag, c, _ in _RECORDS]
         return F.struct(F.lit(record).alias("record"), child.cast("int").alias("child_no"), linked.cast("int").alias("linked_no"), F.coalesce(listed, F.lit(False)).alias("listed"), *own)
 
-    obs, n = arrays["observation"], F.size(arrays["observation"])
-    alone = F.lit(-1)
-    observation = F.transform(obs, lambda o, i: F.when(o.isNotNull(), row("observation", i, alone, _said(o["property_name"]), o)))
-    finding = F.transform(arrays["finding"], lambda f, i: F.when(f.isNotNull(), row("finding", i, alone, F.lit(True), f)))
-    text_unit = F.transform(arrays["text_unit"], lambda t, i: F.when(t.isNotNull(), row("text_unit", i, alone, _said(t["content"]), t)))
+    obs, n, alone = arrays["observation"], F.size(arrays["observation"]), F.lit(-1)
 
     def links(f: Column, i: Column) -> Column:
         place = F.array_distinct(F.transform(_none(f["observation_indices"], _EMPTY_INTS), lambda x: F.when(x < 0, x + n).otherwise(x)))
         held = F.filter(place, lambda x: x.isNotNull() & (x >= 0) & (x < n) & F.get(obs, x).isNotNull())
         return F.transform(held, lambda x: row("finding_observation", i, x, _said(F.get(obs, x)["property_name"])))
 
-    visit = F.concat(observation, finding, text_unit, F.flatten(F.transform(arrays["finding"], links)))
+    def finding(f: Column, i: Column) -> Column:
+        """A finding and, below it, its links."""
+        return F.when(f.isNotNull(), F.concat(F.array(row("finding", i, alone, F.lit(True), f)), links(f, i)))
+
+    visit = F.concat(
+        F.transform(obs, lambda o, i: F.when(o.isNotNull(), row("observation", i, alone, _said(o["property_name"]), o))),
+        F.transform(arrays["text_unit"], lambda t, i: F.when(t.isNotNull(), row("text_unit", i, alone, _said(t["content"]), t))),
+        F.flatten(F.filter(F.transform(arrays["finding"], finding), lambda x: x.isNotNull())),
+    )
     rows = experiments.select("exp_row", F.explode(visit).alias("row")).filter(F.col("row").isNotNull())
     return rows.select("row.record", "exp_row", *(f"row.{c}" for c in ("child_no", "linked_no", "listed", "observation", "finding", "text_unit")))
 
 
+def tagged_children(experiments: DataFrame) -> DataFrame:
+    """The listed rows of ``tagged_records`` but findings, with (record, exp_row, child_no, linked_no, text, value)."""
+    types = {f.name: f.dataType.elementType.fieldNames() for f in experiments.schema.fields if f.name in ("observations", "text_units")}
+    value = F.col("observation.value").cast("double") if "value" in types.get("observations", ()) else F.lit(None).cast("double")
+    listed = tagged_records(experiments).filter("listed and record <> 'finding'")
+    return listed.select("record", "exp_row", "child_no", "linked_no", F.coalesce("observation.property_name", "text_unit.content").alias("text"), value.alias("value"))
+
+
 def record_tables(tagged: DataFrame) -> dict[str, DataFrame]:
     """The rows of ``tagged_records`` by tag, each under its own schema: keys, the parent key ``exp_row``, all fields."""
     of = lambda record: tagged.filter(F.col("record") == record)
