@@ -129,3 +129,19 @@ def fill_report(placed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         F.count("*").alias("containers"), F.sum("used").alias("tokens"), (F.sum("used") / (F.count("*") * capacity)).alias("fill"),
         F.ceil(F.sum("used") / capacity).alias("least"), F.max("used").alias("fullest"),
     )
+
+
+def placement_checks(placed: DataFrame, documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row that says whether ``placed`` keeps the rules: documents placed, and the number of breaches of each.
+
+    ``overfull`` containers, ``cut_short`` documents of several pieces that fit in one container, ``gaps`` documents
+    whose pieces are not 0, 1, 2 and so on or not full but the last, ``unknown`` documents placed without a text.
+    """
+    full = placed.groupBy("container").agg(F.sum("n_tokens").alias("used")).agg(F.count_if(F.col("used") > capacity).alias("overfull"))
+    whole = placed.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("size"), F.max("piece").alias("last"), F.countDistinct("piece").alias("pieces"), F.count_if(F.col("n_tokens") == capacity).alias("filled"))
+    own = whole.join(documents.filter("text is not null and text <> ''").select("doc_id"), "doc_id", "left_anti").agg(F.count("*").alias("unknown"))
+    per = whole.agg(
+        F.count("*").alias("documents"), F.count_if((F.col("n") > 1) & (F.col("size") <= capacity)).alias("cut_short"),
+        F.count_if((F.col("last") + 1 != F.col("n")) | (F.col("pieces") != F.col("n")) | (F.col("filled") < F.col("n") - 1)).alias("gaps"),
+    )
+    return per.crossJoin(full).crossJoin(own)  # single rows
