@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodeworks.functions.expr import MAP
 from lodeworks.operators import answer, folds, gaps, graph, hypotheses, ingest, lineage, query, search, sessions
-from lodeworks.plans.graph import _CTES, _KPI, _LISTED, _SCORE, Query, _id, _listed_entities, _r, _some, _star, registrar
+from lodeworks.plans.graph import _CTES, _KPI, _LISTED, _SCORE, Query, _id, _listed_entities, _r, _some, _sql, _star, registrar
 from lodeworks.schema import empty_graph
 from lodeworks.sources import star
 from lodeworks.sources.tables import table
@@ -65,12 +65,10 @@ _CTES["edges"] = """edges as (select src, dst, 'rel_' || substr(sha1(relation_ty
 root as (select 'document_' || substr(sha1('5'), 1, 16) as x), one as (select a, b, r from both_ways, root where a = x)"""
 
 
-@registered(f"""select 1 as depth, a as src, b as dst, r as rel_id, 2 as hops from one
- union all select 2, w.a, w.b, w.r, 3 from both_ways w join (select distinct b as y from one, root where b <> x) on y = w.a""", "line", "rel", "edges")
-def related_hops(spark, folder):
-    """Every hop within two of a document, with the length of its path."""
-    paths, _ = graph.related_paths(star.relations(spark, folder), _id("document", "5"), 2)
-    return paths.select("depth", "src", "dst", "rel_id", F.size("nodes").alias("hops"))
+ORACLE["related_paths"] = _sql(
+    """select 1 as depth, a as src, b as dst, r as rel_id, 2 as hops from one
+ union all select 2, w.a, w.b, w.r, 3 from both_ways w join (select distinct b as y from one, root where b <> x) on y = w.a""", "line", "rel", "edges",
+)  # the query is in the module above
 
 
 @registered("select dst as node from rel where src = 'document_' || substr(sha1('7'), 1, 16) and relation_type = 'tagged_with'", "line", "rel")
