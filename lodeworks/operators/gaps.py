@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodeworks.functions.expr import entity_in_sources, name_key, stable_id
 from lodeworks.operators.resolve import rule_entities
 from lodeworks.schema import Graph
-from lodeworks.session import cut_lineage, small_side
+from lodeworks.session import small_side
 
 #: Rows up to which a dimension is broadcast.
 BROADCAST_ROWS = 500_000
@@ -31,9 +31,12 @@ def expected_triples(rules: DataFrame, entities: DataFrame, mode: str = "strict"
 
     Names that resolve to nothing vanish; two that resolve to one entity give two equal rows.
     """
-    named = cut_lineage(rule_entities(rules, entities, mode))  # used three times; as small as the rules' lists
-    of = lambda kind: named.filter(F.col("kind") == kind).select("rule_id", F.col("entity_id").alias(f"{kind}_id"))
-    return rules.select("rule_id", "name", "scope").join(of("material"), "rule_id").join(of("mode"), "rule_id").join(of("property"), "rule_id")
+    own = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.col("entity_id"))).alias(kind)
+    lists = rule_entities(rules, entities, mode).groupBy("rule_id").agg(*map(own, ("material", "mode", "property")))  # as long as the rules' own lists
+    held = rules.select("rule_id", "name", "scope").join(lists, "rule_id")
+    # a rule's product is made within rows, dealt by its materials first, so that one large rule is no task of its own
+    dealt = held.select("rule_id", "name", "scope", F.explode("material").alias("material_id"), "mode", "property").repartition("rule_id", "material_id")
+    return dealt.select("rule_id", "name", "scope", "material_id", F.explode("mode").alias("mode_id"), "property").select("rule_id", "name", "scope", "material_id", "mode_id", F.explode("property").alias("property_id"))
 
 
 def data_gaps(graph: Graph, scope: str | None = None, where: GapFilter | None = None, source_ids: list[str] | None = None, mode: str = "strict", any_source: bool = False) -> DataFrame:

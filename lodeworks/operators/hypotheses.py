@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from typing import Any
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodeworks.functions.expr import clamp, filled, stable_id
-from lodeworks.session import small_side
+from lodeworks.session import small_side, written
 
 #: Weights of value, evidence, novelty and (1 - risk). Fixed values.
 WEIGHTS = {"value": 0.35, "evidence_strength": 0.25, "novelty": 0.20, "risk": 0.20}
@@ -40,6 +41,21 @@ def totals(observations: DataFrame, evidence: DataFrame, hits: DataFrame) -> Dat
     return o.crossJoin(e).crossJoin(hits.agg(F.count("*").alias("n_hits")))
 
 
+def running_sum(df: DataFrame, key: list[str], order: list[str], value: str) -> DataFrame:
+    """``df`` with ``run``, the sum of ``value`` over the rows of its key up to this one; equal rows of an order share no promise.
+
+    Rows are cut into ranges of key and order; sums run within a range and start with those of the ranges before,
+    so a key of any size is spread over tasks. The cut rows are written first: two cuts may differ.
+    """
+    held = written(df.repartitionByRange(*key, *order).withColumn("_p", F.spark_partition_id()), "ranges")
+    within = F.sum(value).over(Window.partitionBy("_p", *key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    sums = held.groupBy("_p", *key).agg(F.sum(value).alias("_sum"))  # a row for each range that a key lies in
+    before = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.partitionBy(*key).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    renamed = before.select("_p", *[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], "_before")
+    own = held.withColumn("_run", within).alias("h").join(renamed.alias("b"), (F.col("h._p") == F.col("b._p")) & reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(key)]))
+    return own.select(*[f"h.{c}" for c in df.columns], (F.col("_run") + F.col("_before")).alias("run"))
+
+
 def conflict_counts(observations: DataFrame) -> DataFrame:
     """``observations`` with ``same`` (rows of the same property and mode, itself included) and ``conflicts``.
 
@@ -56,8 +72,7 @@ def conflict_counts(observations: DataFrame) -> DataFrame:
     point = values.select(*key, F.col("value").alias("at"), F.lit(1).alias("turn"), "n", F.lit(None).cast("double").alias("value"), F.lit(0).alias("side"))
     low = values.select(*key, (F.col("value") - span).alias("at"), F.lit(0).alias("turn"), F.lit(0).cast("bigint").alias("n"), "value", F.lit(-1).alias("side"))
     high = values.select(*key, (F.col("value") + span).alias("at"), F.lit(2).alias("turn"), F.lit(0).cast("bigint").alias("n"), "value", F.lit(1).alias("side"))
-    run = F.sum("n").over(Window.partitionBy(*key).orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    counted = point.unionByName(low).unionByName(high).withColumn("run", run).filter("side <> 0")
+    counted = running_sum(point.unionByName(low).unionByName(high), key, ["at", "turn"], "n").filter("side <> 0")
     within = counted.groupBy(*key, "value").agg(F.sum(F.col("side") * F.col("run")).alias("near"))
     # null-safe joins: observations without a mode belong together
     out = observations.alias("o")

@@ -68,10 +68,10 @@ def packed_fields(origin: str, df: DataFrame, key: str, texts: Column, is_array:
     return out.filter(F.exists("texts", lambda x: F.coalesce(may_be_packed(x), F.lit(False))))
 
 
-def packed_items(rows: DataFrame, experiments: DataFrame, documents: DataFrame, entries: DataFrame) -> DataFrame:
-    """Pieces of the packed fields of the three tables (equipment twice, materials of documents)."""
+def packed_items(rows: DataFrame, experiments: DataFrame, documents: DataFrame, entries: DataFrame, only_packed: bool = True) -> DataFrame:
+    """Pieces of the fields of the three tables (equipment twice, materials of documents) that are packed, or may be."""
     equipment = packed_fields("experiment_rows", rows, "row_id", F.col("equipment"), False).unionByName(
         packed_fields("experiments", experiments, "exp_row", F.col("equipment_names"), True)
     )
     materials = packed_fields("documents", documents, "doc_id", F.col("material_names"), True)
-    return split_fields(equipment, vocabulary(entries, "equipment"), True).unionByName(split_fields(materials, vocabulary(entries, "materials"), True))
+    return split_fields(equipment, vocabulary(entries, "equipment"), only_packed).unionByName(split_fields(materials, vocabulary(entries, "materials"), only_packed))

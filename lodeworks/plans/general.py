@@ -42,13 +42,13 @@ def p2_valid_lines(spark: SparkSession, folder: str) -> DataFrame:
     return bad_rows.clean_lines(table(spark, folder, "experiment_lines")).select("line_id", "experiment_id", "property", "value", "confidence")
 
 
-def _pieces(spark: SparkSession, folder: str) -> DataFrame:
+def _pieces(spark: SparkSession, folder: str, only_packed: bool = True) -> DataFrame:
     return packed_values.packed_items(
         table(spark, folder, "experiment_rows").select("row_id", "equipment"),
         table(spark, folder, "experiments").select("exp_row", "equipment_names"),
         table(spark, folder, "documents").select("doc_id", "material_names"),
-        house_list(spark, folder),
-    )
+        house_list(spark, folder), only_packed,
+    )
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -56,8 +56,8 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_unlisted(spark: SparkSession, folder: str) -> DataFrame:
-    """Pieces of packed fields that the list does not have, or that had a broken quote."""
-    return _pieces(spark, folder).filter("not listed or broken").select("origin", "row_id", "item_no", "item", "listed", "broken")
+    """Pieces of fields with separators that the list does not have, or that had a broken quote or bracket."""
+    return _pieces(spark, folder, False).filter("not listed or broken").select("origin", "row_id", "item_no", "item", "listed", "broken")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:

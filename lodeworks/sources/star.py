@@ -54,8 +54,13 @@ def entities(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, folder: str) -> DataFrame:
-    line = table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag")
-    return line.join(table(spark, folder, "part").select("p_partkey", "p_brand", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+    """Line items with the ids of their order, part and evidence.
+
+    Ids of brands and types are made of the parts, before the join, so a filter on one of them is a filter of the parts.
+    """
+    line = table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    part = table(spark, folder, "part").select("p_partkey", entity_id("material", F.col("p_brand")).alias("material_id"), entity_id("mode", F.col("p_type")).alias("mode_id"))
+    return line.join(part, F.col("l_partkey") == F.col("p_partkey"))
 
 
 def _evidence_id() -> Column:
@@ -64,11 +69,13 @@ def _evidence_id() -> Column:
 
 def observations(spark: SparkSession, folder: str) -> DataFrame:
     """One observation for each measure of each line item; the key is the row itself, as order and line repeat."""
-    each = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), (F.col(f"l_{m}") + 0.0).alias("v")) for m in MEASURES]))
-    return _lines(spark, folder).select("*", each.alias("x")).select(
-        stable_id("obs", F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey"), F.col("x.m"), F.col("x.v")).alias("id"), entity_id("material", F.col("p_brand")).alias("material_id"),
-        entity_id("property", F.col("x.m")).alias("property_id"), entity_id("experiment", F.col("l_orderkey").cast("string")).alias("experiment_id"), entity_id("mode", F.col("p_type")).alias("mode_id"),
-        F.col("x.v").alias("value"), F.lit(None).cast("string").alias("unit"), F.lit(None).cast("string").alias("comparator"), _evidence_id().alias("evidence_id"), (1.0 - F.col("l_tax")).alias("confidence"),
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), entity_id("property", F.lit(m)).alias("property_id"), (F.col(f"l_{m}") + 0.0).alias("v")) for m in MEASURES]))
+    lines = _lines(spark, folder).select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_tax", "material_id", "mode_id", entity_id("experiment", F.col("l_orderkey").cast("string")).alias("experiment_id"), _evidence_id().alias("evidence_id"), each.alias("x")
+    )
+    return lines.select(
+        stable_id("obs", F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey"), F.col("x.m"), F.col("x.v")).alias("id"), "material_id", F.col("x.property_id").alias("property_id"), "experiment_id", "mode_id",
+        F.col("x.v").alias("value"), F.lit(None).cast("string").alias("unit"), F.lit(None).cast("string").alias("comparator"), "evidence_id", (1.0 - F.col("l_tax")).alias("confidence"),
         F.lit(None).cast("timestamp").alias("observed_at"), F.expr(_NO_BAG).alias("metadata"), F.lit(0).cast("bigint").alias("seq"))
 
 
@@ -84,11 +91,13 @@ def evidence(spark: SparkSession, folder: str) -> DataFrame:
 
 def relations(spark: SparkSession, folder: str) -> DataFrame:
     t = lambda name: table(spark, folder, name)
-    line = _lines(spark, folder).join(t("supplier").select("s_suppkey", "s_name", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey")).join(t("nation").select("n_nationkey", "n_name"), F.col("s_nationkey") == F.col("n_nationkey"))
-    ends = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(k).alias("k"), F.col(c).alias("n")) for r, k, c in (("evaluates_material", "material", "p_brand"), ("uses_mode", "mode", "p_type"), ("performed_by", "team", "s_name"), ("uses_equipment", "equipment", "n_name"))])
-    own = line.select(F.col("l_orderkey").cast("string").alias("o"), _evidence_id().alias("e"), F.explode(ends).alias("x")).groupBy("o", "x").agg(F.sort_array(F.collect_set("e")).alias("ev"))
+    nation = t("nation").select("n_nationkey", entity_id("equipment", F.col("n_name")).alias("equipment_id"))
+    supplier = t("supplier").select("s_suppkey", "s_nationkey", entity_id("team", F.col("s_name")).alias("team_id"))
+    line = _lines(spark, folder).join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    ends = F.array(*[F.struct(F.lit(r).alias("r"), F.col(c).alias("target")) for r, c in (("evaluates_material", "material_id"), ("uses_mode", "mode_id"), ("performed_by", "team_id"), ("uses_equipment", "equipment_id"))])
+    own = line.select("l_orderkey", _evidence_id().alias("e"), F.explode(ends).alias("x")).groupBy("l_orderkey", "x.r", "x.target").agg(F.sort_array(F.collect_set("e")).alias("ev"))
     of = lambda df, a, b, ev: df.select(F.col("r").alias("relation_type"), a.alias("source_entity_id"), b.alias("target_entity_id"), ev.alias("evidence_ids"))
-    orders = of(own.select("o", "ev", "x.*"), entity_id("experiment", F.col("o")), stable_id(F.col("k"), F.col("n")), F.col("ev"))
+    orders = of(own, entity_id("experiment", F.col("l_orderkey").cast("string")), F.col("target"), F.col("ev"))
     tags = t("documents").select(F.col("doc_id").cast("string").alias("d"), F.explode(F.array_distinct(F.array("source", "lang"))).alias("n")).filter("n is not null").withColumn("r", F.lit("tagged_with"))
     both = orders.unionByName(of(tags, entity_id("document", F.col("d")), entity_id("tag", F.col("n")), F.expr(_NO_LIST)))
     return both.select(

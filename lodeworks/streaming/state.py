@@ -14,22 +14,22 @@ SESSION = "session_id string, n bigint, last_message string, expired boolean"
 def session_state(messages: DataFrame, ttl_ms: int = 3_600_000, keep: int = 50) -> DataFrame:
     """SESSION rows of a stream (session_id, position, content): kept message count and last message after each batch.
 
-    A session without messages for ``ttl_ms`` of processing time is dropped and reported as expired. Only the
-    last ``keep`` positions of a session are held in state.
+    The messages of the last ``keep`` positions of a session are held in state, whatever order they come in; the last
+    message is that of the largest position, and of messages with one position the one that came last counts. A
+    session without messages for ``ttl_ms`` of processing time is dropped and reported as expired.
     """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = dict(zip(*state.get, strict=True)) if state.exists else {}
         if state.hasTimedOut:
-            n, last = state.get
             state.remove()
-            yield pd.DataFrame([(key[0], n, last, True)], columns=["session_id", "n", "last_message", "expired"])
-            return
-        n, last = state.get if state.exists else (0, "")
-        for part in parts:
-            part = part.sort_values("position")
-            n, last = min(keep, n + len(part)), str(part["content"].iloc[-1])
-        state.update((n, last))
-        state.setTimeoutDuration(ttl_ms)
-        yield pd.DataFrame([(key[0], n, last, False)], columns=["session_id", "n", "last_message", "expired"])
-
-    return messages.groupBy("session_id").applyInPandasWithState(step, SESSION, "n bigint, last string", "update", GroupStateTimeout.ProcessingTimeTimeout)
+        else:
+            for part in parts:
+                held |= dict(zip(part["position"].tolist(), part["content"].tolist(), strict=True))
+                held = dict(sorted(held.items())[-keep:])
+            state.update((list(held), list(held.values())))
+            state.setTimeoutDuration(ttl_ms)
+        yield pd.DataFrame([(key[0], len(held), next(reversed(held.values()), None), state.hasTimedOut)], columns=["session_id", "n", "last_message", "expired"])
+
+    state = "positions array<bigint>, contents array<string>"
+    return messages.groupBy("session_id").applyInPandasWithState(step, SESSION, state, "update", GroupStateTimeout.ProcessingTimeTimeout)
