@@ -7,6 +7,7 @@ inputs with the resolved ids; folds by id make the batch idempotent. Nothing is
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from lodeworks.functions.expr import MAP, filled, merge_maps, norm_name, python_
 from lodeworks.operators.folds import FOLDS
 from lodeworks.operators.resolve import canonicalise
 from lodeworks.schema import Graph
-from lodeworks.session import cut_lineage, small_side, written
+from lodeworks.session import at_once, cut_lineage, small_side, written
 
 _NO_LIST, _NO_BAG = "cast(array() as array<string>)", f"cast(map() as {MAP})"
 #: Room for the mentions of one input between two inputs' places.
@@ -45,7 +46,7 @@ class Batch:
 
     def written(self) -> Batch:
         """The batch with its rows written once, as several jobs read them."""
-        return Batch({name: written(rows, f"batch-{name}") for name, rows in self.rows.items()})
+        return Batch(at_once({name: partial(written, rows, f"batch-{name}") for name, rows in self.rows.items()}))
 
 
 def _now(at: str | None) -> Column:

@@ -5,11 +5,16 @@ from __future__ import annotations
 import atexit
 import os
 import tempfile
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "lodeworks") -> SparkSession:
     """A local session for tests and the bench; on a cluster the caller brings its own session."""
@@ -105,6 +110,13 @@ def _remove_staged() -> None:
             continue
 
 
+def at_once(jobs: dict[str, Callable[[], T]]) -> dict[str, T]:
+    """Results of independent jobs by name, all submitted at once, so that small ones share the executors."""
+    with ThreadPoolExecutor(max(1, len(jobs))) as pool:
+        running = {name: pool.submit(job) for name, job in jobs.items()}
+        return {name: f.result() for name, f in running.items()}
+
+
 class TooLarge(ValueError):
     """A side that must stay small exceeded its documented bound."""
 

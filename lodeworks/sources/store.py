@@ -9,6 +9,7 @@ repeats a stage. The manifest before is kept for readers; what neither of the tw
 from __future__ import annotations
 
 import json
+from functools import partial
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from lodeworks.operators.ingest import Batch
 from lodeworks.operators.lineage import delete_source
 from lodeworks.schema import SCHEMAS, Graph, empty, violations
+from lodeworks.session import at_once
 
 _KEYS = {"coverage_rules": "rule_id"}
 
@@ -72,8 +74,7 @@ class Store:
     def save(self, graph: Graph, tables: list[str] | None = None) -> Graph:
         """Stage the named tables whole (all by default), then switch to them."""
         versions = self._versions()
-        for name in tables or list(SCHEMAS):
-            versions[name] = self._stage(name, graph.tables()[name])
+        versions |= at_once({name: partial(self._stage, name, graph.tables()[name]) for name in tables or list(SCHEMAS)})
         self._switch(versions)
         return self.load()
 
@@ -116,12 +117,13 @@ class Store:
         Only buckets that the batch has rows for are read, folded and written again.
         """
         versions, batch = self._versions(), batch.written()
-        touched = {t: {str(r.b) for r in rows.select(self._bucket(t).alias("b")).distinct().collect()} for t, rows in batch.rows.items()}  # at most a store's buckets each
+        buckets = lambda t: {str(r.b) for r in batch.rows[t].select(self._bucket(t).alias("b")).distinct().collect()}  # noqa: E731  at most a store's buckets
+        touched = at_once({t: partial(buckets, t) for t in batch.rows})
         whole = self.load()
         part = whole.with_tables(**{t: self._table(t, {b: v for b, v in versions.get(t, {}).items() if b in bs}) for t, bs in touched.items()})
         folded = batch.fold_into(part, whole)
-        for name in batch.rows:
-            versions[name] = versions.get(name, {}) | self._stage(name, folded.tables()[name])
+        staged = at_once({name: partial(self._stage, name, folded.tables()[name]) for name in batch.rows})
+        versions |= {name: versions.get(name, {}) | own for name, own in staged.items()}
         self._switch(versions)
         return self.load()
 
