@@ -9,21 +9,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeworks.operators import adapters, answer, gaps, graph, hypotheses, ingest, query, resolve, search
+from lodeworks.providers import embedded
 from lodeworks.schema import Graph
 from lodeworks.session import cut_lineage
-from lodeworks.sources.files import read_records, with_route
+from lodeworks.sources.files import of_family, read_records, with_route
 from lodeworks.sources.store import Store
 
 Completion = Callable[[str, dict[str, Any]], str]
+Embedding = Callable[[list[str]], list[list[float]]]
 
 
 class Engine:
-    """An evidence graph in a table root. ``complete`` is an optional callable (question, packet) -> text."""
+    """An evidence graph in a table root.
 
-    def __init__(self, spark: SparkSession, root: str, resolution: str = "strict", complete: Completion | None = None):
+    ``complete`` is an optional callable (question, packet) -> text for answers, ``embed`` one of texts -> vectors, with
+    which text units are embedded when they are written.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, resolution: str = "strict", complete: Completion | None = None, embed: Embedding | None = None):
         if resolution not in ("strict", "compat"):
             raise ValueError("resolution is 'strict' or 'compat'")
         self.spark, self.store, self.resolution, self.complete = spark, Store(spark, root), resolution, complete
+        self.embed = embed
 
     @property
     def graph(self) -> Graph:
@@ -36,16 +43,23 @@ class Engine:
         return ingest.ingest_counts(entities=entities, rules=rules)
 
     def ingest_experiments(self, inputs: DataFrame, at: str | None = None) -> dict[str, int]:
-        self.store.ingest(ingest.experiment_batch(inputs, self.graph, self.resolution, at))
+        self.store.ingest(self._with_vectors(ingest.experiment_batch(inputs, self.graph, self.resolution, at)))
         return ingest.ingest_counts(experiments=inputs)
 
     def ingest_documents(self, inputs: DataFrame, at: str | None = None) -> dict[str, int]:
-        self.store.ingest(ingest.document_batch(inputs, self.graph, self.resolution, at))
+        self.store.ingest(self._with_vectors(ingest.document_batch(inputs, self.graph, self.resolution, at)))
         return ingest.ingest_counts(documents=inputs)
 
-    def ingest_files(self, path: str, at: str | None = None, upload: bool = False) -> dict[str, int]:
-        """Everything below ``path``: references first, then experiments, then documents, as later ones resolve against earlier."""
-        return self.ingest_records(with_route(read_records(self.spark, path, upload=upload)), at)
+    def _with_vectors(self, batch: ingest.Batch) -> ingest.Batch:
+        return ingest.Batch(batch.rows | {"text_units": embedded(batch.rows["text_units"], self.embed)}) if self.embed else batch
+
+    def ingest_files(self, path: str, at: str | None = None, upload: bool = False, family: str | None = None) -> dict[str, int]:
+        """Everything below ``path``: references first, then experiments, then documents, as later ones resolve against earlier.
+
+        ``family`` (reference, experiments, documents) says what the files hold, whatever they look like.
+        """
+        records = read_records(self.spark, path, upload=upload)
+        return self.ingest_records(with_route(records) if family is None else of_family(records, family), at)
 
     def ingest_records(self, routed: DataFrame, at: str | None = None) -> dict[str, int]:
         routed = cut_lineage(routed)

@@ -122,12 +122,15 @@ def text_records(files: DataFrame) -> DataFrame:
 
 
 def read_records(spark: SparkSession, path: str, failfast: bool = True, upload: bool = False) -> DataFrame:
-    """RECORDS of everything below ``path``; with ``upload``, marked with the file they come from."""
+    """RECORDS of everything below ``path``; with ``upload``, marked with the file they come from, also in their metadata."""
     files = read_files(spark, path)
     all_ = json_records(files, failfast).unionByName(jsonl_records(files, failfast)).unionByName(delimited_records(files)).unionByName(text_records(files))
     if not upload:
         return all_
-    marked = F.map_concat(F.map_filter("record", lambda k, _: k != "_uploaded_from"), F.create_map(F.lit("_uploaded_from"), F.col("file_name")))
+    bag = F.from_json(F.coalesce(F.col("record")["metadata"], F.lit("{}")), MAP)
+    sourced = F.to_json(F.when(F.map_contains_key(bag, "source_file"), bag).otherwise(F.map_concat(bag, F.create_map(F.lit("source_file"), F.col("file_name")))))
+    own = F.create_map(F.lit("_uploaded_from"), F.col("file_name"), F.lit("metadata"), F.coalesce(sourced, F.col("record")["metadata"]))
+    marked = F.map_concat(F.map_filter("record", lambda k, _: ~k.isin("_uploaded_from", "metadata")), own)
     return all_.withColumn("record", F.when(F.col("section") == "coverage_rules", F.col("record")).otherwise(marked))
 
 
@@ -147,3 +150,19 @@ def with_route(records: DataFrame) -> DataFrame:
         .when(has("document_id", "id", "path", "file") & has("text", "content", "body"), "documents").otherwise("fallback")
     )
     return records.withColumn("route", route)
+
+
+def of_family(records: DataFrame, family: str) -> DataFrame:
+    """``records`` that a family (reference, experiments, documents) has, with that ``route``; others are left out.
+
+    A reference family keeps its known sections and records with an explicit kind; the two others keep their own
+    section, ``rows``, ``items`` and whatever stands in no section.
+    """
+    section, has = F.col("section"), lambda k: F.coalesce(F.col("record")[k] != "", F.lit(False))
+    if family == "reference":
+        rules = section == "coverage_rules"
+        kept = records.filter(section.isin("entities", "coverage_rules", "staff", *ENTITY_SECTIONS) | has("kind") | has("entity_kind") | (section.isNull() & has("type")))
+        return kept.withColumn("route", F.when(rules, "rules").otherwise("reference"))
+    if family not in ("experiments", "documents"):
+        raise ValueError("family is reference, experiments or documents")
+    return records.filter(section.isNull() | section.isin(family, "rows", "items")).withColumn("route", F.lit(family))
