@@ -186,7 +186,9 @@ def among(sigs: np.ndarray, held: np.ndarray) -> np.ndarray:
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x).sum(-1, dtype=np.int64)
+    """Number of bits of each bitmap."""
+    n = np.bitwise_count(x)
+    return n[..., 0].astype(np.int32) + n[..., 1]
 
 
 class SignatureForest:
@@ -202,7 +204,7 @@ class SignatureForest:
     def __init__(self, sig: np.ndarray, size: np.ndarray, cap: np.ndarray, bitmap: np.ndarray, num: int = NUM, den: int = DEN):
         self.num, self.den = num, den
         self.order = np.lexsort((size, cap, sig))
-        sig, size, cap, bitmap = sig[self.order], size[self.order].astype(np.int64), cap[self.order].astype(np.int64), np.ascontiguousarray(bitmap[self.order])
+        sig, size, cap, bitmap = sig[self.order], size[self.order].astype(np.int32), cap[self.order].astype(np.int32), np.ascontiguousarray(bitmap[self.order])
         self.levels = [{"low": size, "high": size, "cap": cap, "slack": size - _bits(bitmap), "any": bitmap, "all": bitmap}]
         while len(sig) and (len(self.levels) == 1 or (sig[1:] == sig[:-1]).any()):
             starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
@@ -228,17 +230,18 @@ class SignatureForest:
         """
         at, num, den = self.levels[level], self.num, self.den
         both = num + den
-        need = num * (at["low"][a] + at["low"][b])
-        kept = np.flatnonzero((np.minimum(at["cap"][a], at["cap"][b]) * both >= need) & (den * np.minimum(at["high"][a], at["high"][b]) >= num * np.maximum(at["low"][a], at["low"][b])))
+        low_a, low_b = at["low"][a], at["low"][b]
+        need = num * (low_a + low_b)
+        kept = np.flatnonzero(np.minimum(at["cap"][a], at["cap"][b]) * both >= need)
+        if level:
+            kept = kept[den * np.minimum(at["high"][a[kept]], at["high"][b[kept]]) >= num * np.maximum(low_a[kept], low_b[kept])]
         a, b, need = a[kept], b[kept], need[kept]
-        any_a, any_b = at["any"][a], at["any"][b]
+        any_a, any_b = at["any"].take(a, axis=0), at["any"].take(b, axis=0)
+        # between two records this is all that bitmaps say: what a record has and the other has not is its size less this
         ok = (np.minimum(at["slack"][a], at["slack"][b]) + _bits(any_a & any_b)) * both >= need
         if level:
             lost_a, lost_b = _bits(at["all"][a] & ~any_b), _bits(at["all"][b] & ~any_a)
             ok &= (den * at["high"][a] - num * at["low"][b] >= both * lost_a) & (den * at["high"][b] - num * at["low"][a] >= both * lost_b)
-        else:
-            lost_a, lost_b = _bits(any_a & ~any_b), _bits(any_b & ~any_a)
-            ok &= np.minimum(at["low"][a] - lost_a, at["low"][b] - lost_b) * both >= need
         return kept[ok]
 
     def _children(self, level: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
