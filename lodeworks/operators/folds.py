@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeworks.functions.expr import MAP
+from lodeworks.functions.expr import MAP, merge_maps
 
 
 def _order(df: DataFrame) -> Column:
@@ -34,6 +34,19 @@ def _folded(rows: DataFrame, last: dict[str, Column], sets: tuple[str, ...], bag
     return scalars.join(whole, "id", "left").withColumns({c: F.coalesce(F.col(c), e) for c, e in empty.items()})
 
 
+def _folded_in_place(rows: DataFrame, last: dict[str, Column], sets: tuple[str, ...], bag: str, by: tuple[str, ...]) -> DataFrame:
+    """As ``_folded``, in one pass over the records of each ``by`` in order; rows that are partitioned by some of it stay where they are."""
+    none = {**{c: F.array().cast("array<string>") for c in sets}, bag: F.expr(f"cast(map() as {MAP})")}
+    ordered = Window.partitionBy(*by).orderBy(_order(rows))
+    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    held = F.struct(*[F.coalesce(F.col(c), e).alias(c) for c, e in none.items()])
+    found = rows.select(*by, *[c.over(whole).alias(n) for n, c in last.items() if n not in by], F.collect_list(held).over(whole).alias("_x"), F.row_number().over(ordered).alias("_k")).filter("_k = 1")
+    x, one = F.col("_x"), F.size("_x") == 1
+    union = F.aggregate(x[bag], none[bag], merge_maps)
+    united = {c: F.array_compact(F.when(one & (F.size(x[0][c]) < 2), x[0][c]).otherwise(F.sort_array(F.array_distinct(F.flatten(x[c]))))) for c in sets}
+    return found.withColumns({**united, bag: F.when(one & (F.size(x[0][bag]) < 2), x[0][bag]).otherwise(F.map_from_entries(F.array_sort(F.map_entries(union))))})
+
+
 def fold_entities(rows: DataFrame) -> DataFrame:
     """Entities by id: last name; aliases and source references united; right-wins properties; largest
     confidence; the first kind, creation time and place; the last update time."""
@@ -45,12 +58,18 @@ def fold_entities(rows: DataFrame) -> DataFrame:
     return _folded(rows, last, ("aliases", "source_refs"), "properties").select("id", "kind", "canonical_name", "aliases", "properties", "source_refs", "confidence", "created_at", "updated_at", "seq")
 
 
-def fold_relations(rows: DataFrame) -> DataFrame:
-    """Relations by id: evidence united, right-wins properties, largest confidence, first place."""
+def fold_relations(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Relations by id: evidence united, right-wins properties, largest confidence, first place.
+
+    ``by``: columns that tell relations apart as their ids do, as ids are made of them. All records of a relation then meet
+    in one task, none is moved where rows are partitioned by one of the columns, and no id is made that is not asked for.
+    Without it a relation may have any number of records.
+    """
     o = _order(rows)
     ends = ("relation_type", "source_entity_id", "target_entity_id")
     last = {**{c: F.min_by(c, o) for c in ends}, "confidence": F.max("confidence"), "created_at": F.min_by("created_at", o), "updated_at": F.max_by("updated_at", o), "seq": F.min("seq")}
-    return _folded(rows, last, ("evidence_ids",), "properties").select("id", *ends, "evidence_ids", "properties", "confidence", "created_at", "updated_at", "seq")
+    folded = _folded_in_place(rows, {"id": F.min("id"), **last}, ("evidence_ids",), "properties", by) if by else _folded(rows, last, ("evidence_ids",), "properties")
+    return folded.select("id", *ends, "evidence_ids", "properties", "confidence", "created_at", "updated_at", "seq")
 
 
 def last_wins(rows: DataFrame, key: str = "id") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodeworks.functions.expr import MAP
 from lodeworks.operators import answer, folds, gaps, graph, hypotheses, ingest, lineage, query, search, sessions
 from lodeworks.plans.graph import _CTES, _KPI, _LISTED, _SCORE, Query, _id, _listed_entities, _r, _some, _sql, _star, registrar
-from lodeworks.schema import empty_graph
+from lodeworks.schema import RELATION_TYPES, empty_graph
 from lodeworks.sources import star
 from lodeworks.sources.tables import table
 
@@ -40,10 +40,17 @@ def last_writer_at_first_place(spark, folder):
 @registered("select relation_type, count(*) as n, sum(k)::bigint as evidence, max(k) as most, count(distinct last) as bags from per group by 1", "line", "per")
 def relation_evidence_fold(spark, folder):
     """Relations delivered once for each evidence, folded: evidence united, the bag of the last one kept."""
-    rel = star.relations(spark, folder).filter("relation_type <> 'tagged_with'")
-    each = rel.withColumn("e", F.explode("evidence_ids")).withColumns({"evidence_ids": F.array("e"), "properties": F.create_map(F.lit("of"), F.col("e")), "seq": F.conv(F.substring("e", 10, 15), 16, 10).cast("bigint")}).drop("e")
-    folded = folds.fold_relations(each)
-    return folded.groupBy("relation_type").agg(F.count("*").alias("n"), F.sum(F.size("evidence_ids")).alias("evidence"), F.max(F.size("evidence_ids")).cast("bigint").alias("most"), F.countDistinct(F.col("properties")["of"]).alias("bags"))
+    folded = folds.fold_relations(star.deliveries(spark, folder), by=star.DELIVERED)
+    # A relation gives a row for the totals of its type, and one for its last evidence with a bit for the type: evidence is told
+    # apart once for all types, by the 16 digits of its id, so that few bytes of it are moved.
+    bits = {t: 1 << i for i, t in enumerate(RELATION_TYPES)}
+    types, none = F.coalesce(*[F.when(F.col("relation_type") == t, F.lit(b)) for t, b in bits.items()]).alias("types"), F.lit(None)
+    total = F.struct("relation_type", none.cast("binary").alias("last"), F.size("evidence_ids").alias("k"), types)
+    mark = F.struct(none.cast("string").alias("relation_type"), F.unhex(F.substring(F.col("properties")["of"], 10, 16)).alias("last"), none.cast("int").alias("k"), types)
+    each = folded.select(F.explode(F.array(total, mark)).alias("x")).select("x.*").groupBy("relation_type", "last").agg(F.count("k").alias("n"), F.sum("k").alias("evidence"), F.max("k").alias("most"), F.bit_or("types").alias("types"))
+    few = each.groupBy("types").agg(F.sum("n").alias("n"), F.sum("evidence").alias("evidence"), F.max("most").cast("bigint").alias("most"), F.count("last").alias("bags"))
+    of = F.explode(F.array_compact(F.array(*[F.when(F.col("types").bitwiseAND(b) != 0, t) for t, b in bits.items()])))
+    return few.withColumn("relation_type", of).groupBy("relation_type").agg(F.sum("n").alias("n"), F.sum("evidence").alias("evidence"), F.max("most").alias("most"), F.sum("bags").alias("bags"))
 
 
 @registered(f"select kind, name, k::int as place from (select kind, canonical_name as name, row_number() over (partition by kind order by {_PLACE.format('canonical_name')}, id) as k from ents) where k <= 2", "ents")
